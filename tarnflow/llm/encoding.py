@@ -19,10 +19,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import numpy as np  # noqa: E402
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Distinct pieces that a worker keeps; beyond them it begins anew.
-KEPT = 400_000
+#: Distinct pieces that a worker keeps; beyond them it begins anew. Pieces that go to the library in one text.
+KEPT, TOGETHER = 1_200_000, 128
 _UNSAFE = re.compile(r" (?=\s|$)")
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: Stands between words of a word-end vocabulary, where it is a token of its own.
+MARK = "|"
 
 
 def raw(ids) -> bytes:
@@ -30,25 +32,47 @@ def raw(ids) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-class Pieces(dict):
-    """Piece to the bytes of its ids."""
-
-    def __init__(self, tokenizer: Tokenizer, before: str):
-        super().__init__()
-        self.tokenizer, self.before = tokenizer, before
-
-    def learn(self, pieces: list[str]) -> None:
-        new = [p for p in dict.fromkeys(pieces) if p not in self]
-        if new:
-            found = self.tokenizer.encode_batch_fast([self.before + p for p in new], add_special_tokens=False)
-            self.update((p, raw(e.ids)) for p, e in zip(new, found))
-
-
 class Encoder:
     def __init__(self, path: str, word_ends: bool):
         self.tokenizer = Tokenizer.from_file(path)
         self.word_ends = word_ends
-        self.pieces = Pieces(self.tokenizer, "" if word_ends else " ")
+        self.pieces: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self.mark = self._ids([MARK])[0]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Looks up distinct pieces, many to a text: their ids are told apart by the spaces that begin them, or by marks between them."""
+        odd = []
+        if self.word_ends:
+            odd = [p for p in new if MARK in p or "<|" in p]
+            new = [p for p in new if not (MARK in p or "<|" in p)] if odd else new
+            runs = [new[k : k + TOGETHER] for k in range(0, len(new), TOGETHER)]
+            texts = [f" {MARK} ".join(r) for r in runs]
+        else:
+            odd = [p for p in new if not p or "<|" in p]
+            new = [p for p in new if p and "<|" not in p] if odd else new
+            runs = [new[k : k + TOGETHER] for k in range(0, len(new), TOGETHER)]
+            texts = [" " + " ".join(r) for r in runs]
+        for run, ids in zip(runs, self._ids(texts)):
+            ids = np.array(ids, "<u4")
+            if self.word_ends:
+                at = np.flatnonzero(ids == self.mark[0]) if len(self.mark) == 1 else np.zeros(0, np.int64)
+                first, last = np.r_[0, at + 1], np.r_[at, len(ids)]
+            else:
+                first = np.flatnonzero(self.begins[ids])
+                last = np.r_[first[1:], len(ids)]
+            if len(first) == len(run) and (not len(first) or first[0] == 0):
+                data = ids.tobytes()
+                self.pieces.update(zip(run, [data[a:z] for a, z in zip((4 * first).tolist(), (4 * last).tolist())]))
+            else:
+                odd += run
+        if odd:
+            self.pieces.update(zip(odd, map(raw, self._ids(odd if self.word_ends else [" " + p for p in odd]))))
 
     def parts(self, text: str) -> list[str] | None:
         """Words of a word-end vocabulary; for a byte-level one what stands between spaces, or None where white space is irregular."""
@@ -61,21 +85,31 @@ class Encoder:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.pieces) > KEPT:
             self.pieces.clear()
+        get = self.pieces.get
         split = [self.parts(t) for t in texts]
-        for begin in range(0, len(split), 64):
-            self.pieces.learn([p for parts in split[begin : begin + 64] if parts for p in (parts if self.word_ends else parts[1:])])
         whole = [i for i, p in enumerate(split) if p is None]
         heads = [] if self.word_ends else [i for i, p in enumerate(split) if p is not None]
-        given = self.tokenizer.encode_batch_fast([texts[i] for i in whole] + [split[i][0] for i in heads], add_special_tokens=False)
-        found = {i: raw(e.ids) for i, e in zip(whole + heads, given)}
-        out, get = [], self.pieces.__getitem__
+        given = self._ids([texts[i] for i in whole] + [split[i][0] for i in heads])
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(whole, given):
+            out[i] = raw(ids)
+        first = {i: raw(ids) for i, ids in zip(heads, given[len(whole) :])}
+        missing: dict[str, None] = {}
+        waiting = []
         for i, parts in enumerate(split):
-            if parts is None:
-                out.append(found[i])
-            elif self.word_ends:
-                out.append(b"".join(map(get, parts)))
-            else:
-                out.append(found[i] + b"".join(map(get, parts[1:])))
+            if parts is not None:
+                if not self.word_ends:
+                    del parts[0]
+                found = list(map(get, parts))
+                if not all(found):  # some are unknown, or have no ids
+                    missing.update((p, None) for p, f in zip(parts, found) if f is None)
+                    waiting.append(i)
+                else:
+                    out[i] = first.get(i, b"") + b"".join(found)
+        if waiting:
+            self._learn(list(missing))
+            for i in waiting:
+                out[i] = first.get(i, b"") + b"".join(map(get, split[i]))
         return out
 
 
