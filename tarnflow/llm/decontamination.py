@@ -2,10 +2,12 @@
 
 Test items are indexed by term, in order of their length and in blocks; every posting carries its
 BM25 impact as a share of what the item scores against itself, so one threshold holds for all
-items. Every training passage is a query. Passages are windows twice as wide as a block's longest
-item, one longest item apart, so that any copy of an item lies whole in one of them. A passage
-whose terms' block maxima don't add up to the threshold in any block needs no further look; the
-others go through WAND with block maxima, which finds every item at or above the threshold.
+items. Every training passage is a query. Documents are dealt into cells of ``CELL`` words; passages
+are runs of cells, one from each cell on, as long as it takes for any copy of an item of the block
+to lie whole in one of them. A block is skipped where the block maxima of the passage's terms
+don't add up to the threshold: first with sums of the cells' terms, for all passages at once, then
+with the passage's distinct terms. What is left goes through WAND with block maxima, which finds
+every item at or above the threshold.
 An item found is verified on five-word shingles: at least 0.8 of its question's and of its
 answer's must be in the passage. The answer is what follows the last question mark, or else the
 last sentence; the shingles that reach into it are its own. Words are lower-cased runs of letters
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -37,8 +40,8 @@ from tarnflow.llm.common import LOWER, batches, mix64, slices, text_buffer, word
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach; share of shingles; words of a shingle.
 SCORE, OVERLAP, WORDS = 0.5, 0.8, 5
-#: Items of a block and of a shard, and shards that are broadcast at a time.
-BLOCK, SHARD, GROUP = 8, 4096, 16
+#: Items of a block and of a shard, shards that are broadcast at a time, and words of a cell.
+BLOCK, SHARD, GROUP, CELL = 8, 4096, 16, 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Lower case, and ASCII punctuation as spaces: signs stuck to a word don't hide it.
 PLAIN = LOWER.copy()
@@ -104,9 +107,16 @@ class Shard:
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         return np.where(self.terms[at] == h, at, len(self.terms))
 
-    def wand(self, terms: list[int], least: float) -> list[tuple[int, float]]:
-        """All items whose impacts for these distinct terms add up to ``least``: block-max WAND over the terms' postings."""
-        cursors = [[self.postings[t][0][0], 0, t] for t in terms if t < len(self.postings)]
+    def wand(self, terms: list[int], least: float, begin: int = 0, end: int | None = None) -> list[tuple[int, float]]:
+        """All items from ``begin`` to below ``end`` whose impacts for these distinct terms add up to ``least``: block-max WAND over the terms' postings."""
+        end = len(self.ids) if end is None else end
+        cursors = []
+        for t in terms:
+            if t < len(self.postings):
+                line = self.postings[t]
+                at = bisect_left(line, (begin,)) if begin else 0
+                if at < len(line) and line[at][0] < end:
+                    cursors.append([line[at][0], at, t])
         top = {c[2]: float(self.maxima[c[2]].max()) for c in cursors}
         found = []
         while cursors:
@@ -125,7 +135,7 @@ class Shard:
                 pivot += 1
             if sum(float(self.maxima[t, block]) for _, _, t in cursors[: pivot + 1]) < least:
                 # no item before the end of the block, or before the next term's, can reach it
-                beyond = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else len(self.ids)
+                beyond = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
                 goal, moved = min((block + 1) * BLOCK, max(beyond, item + 1)), cursors[: pivot + 1]
             elif cursors[0][0] == item:
                 score = sum(self.postings[t][at][1] for i, at, t in cursors[: pivot + 1])
@@ -138,7 +148,7 @@ class Shard:
                 line = self.postings[c[2]]
                 while c[1] < len(line) and line[c[1]][0] < goal:
                     c[1] += 1
-                c[0] = line[c[1]][0] if c[1] < len(line) else -1
+                c[0] = line[c[1]][0] if c[1] < len(line) and line[c[1]][0] < end else -1
             cursors = [c for c in cursors if c[0] >= 0]
         return found
 
@@ -146,35 +156,43 @@ class Shard:
         """Row, item, score and overlaps of every verified match in rows of word hashes."""
         if not len(h) or not len(self.terms):
             return
-        term = self.term_of(h)
-        mass = np.zeros((len(h) + 1, self.maxima.shape[1]))
-        np.cumsum(self.maxima[term], axis=0, out=mass[1:])
-        n = np.diff(offsets)
+        term, n = self.term_of(h), np.diff(offsets)
+        per_row = -(-n // CELL)
+        first = np.cumsum(per_row) - per_row
+        row = np.repeat(np.arange(len(n)), n)
+        cell = first[row] + (np.arange(len(h)) - offsets[row]) // CELL
+        cells = int(per_row.sum())
+        # the distinct terms of each cell, and their block maxima
+        known = term < len(self.terms)
+        key = np.unique(cell[known] * (len(self.terms) + 1) + term[known])
+        mass = np.zeros((cells + 1, self.maxima.shape[1]))
+        if len(key):
+            of = key // (len(self.terms) + 1)
+            begins = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            mass[of[begins] + 1] = np.add.reduceat(self.maxima[key % (len(self.terms) + 1)], begins, axis=0)
+        np.cumsum(mass, axis=0, out=mass)
+        last = (first + per_row)[np.repeat(np.arange(len(n)), per_row)]
+        owner = np.repeat(np.arange(len(n)), per_row)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        seen = set()
-        for span in sorted(set(self.span)):
-            blocks = [b for b, s in enumerate(self.span) if s == span]
-            per_row = np.maximum(1, -(-(n - span) // span))
-            row = np.repeat(np.arange(len(n)), per_row)
-            turn = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-            begin = offsets[row] + turn * span
-            end = np.minimum(begin + 2 * span, offsets[row + 1])
-            bound = (mass[end][:, blocks] - mass[begin][:, blocks]).max(axis=1)
-            for k in np.flatnonzero(bound >= SCORE - 1e-6).tolist():
-                a, z, r = int(begin[k]), int(end[k]), int(row[k])
-                if (a, z) in seen:
-                    continue
-                seen.add((a, z))
-                for item, score in self.wand(np.unique(term[a:z]).tolist(), SCORE):
-                    # a passage of another block's width may cut the item: look as far to both sides as it is long
-                    wide = self.width[item]
-                    near = h[max(int(offsets[r]), a - wide) : min(int(offsets[r + 1]), z + wide)]
-                    runs = shingles(near, min(WORDS, wide))
-                    asked = float(np.isin(self.question[item], runs).mean()) if len(self.question[item]) else 1.0
-                    answered = float(np.isin(self.answer[item], runs).mean()) if len(self.answer[item]) else 1.0
-                    if asked >= OVERLAP and answered >= OVERLAP:
-                        key = (r, item)
-                        best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (score, asked, answered))
+        wide = np.array([-(-(s - 1) // CELL) + 1 for s in self.span])
+        for width in sorted(set(wide.tolist())):
+            blocks = np.flatnonzero(wide == width)
+            begin = np.arange(cells)
+            end = np.minimum(begin + width, last)
+            bound = mass[end][:, blocks] - mass[begin][:, blocks]
+            for k in np.flatnonzero((bound >= SCORE - 1e-6).any(axis=1)).tolist():
+                r = int(owner[k])
+                a = int(offsets[r] + (k - first[r]) * CELL)
+                z = int(min(offsets[r] + (end[k] - first[r]) * CELL, offsets[r + 1]))
+                terms = np.unique(term[a:z])
+                near = blocks[bound[k] >= SCORE - 1e-6]
+                for b in near[self.maxima[terms][:, near].sum(axis=0) >= SCORE - 1e-6].tolist():
+                    for item, score in self.wand(terms.tolist(), SCORE, b * BLOCK, (b + 1) * BLOCK):
+                        runs = shingles(h[a:z], min(WORDS, self.width[item]))
+                        asked = float(np.isin(self.question[item], runs).mean()) if len(self.question[item]) else 1.0
+                        answered = float(np.isin(self.answer[item], runs).mean()) if len(self.answer[item]) else 1.0
+                        if asked >= OVERLAP and answered >= OVERLAP:
+                            best[r, item] = max(best.get((r, item), (0.0, 0.0, 0.0)), (score, asked, answered))
         for (r, item), values in sorted(best.items()):
             yield r, self.ids[item], *values
 
