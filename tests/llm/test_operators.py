@@ -283,8 +283,9 @@ def test_decisions_are_a_distribution():
     assert abs(sum(2.0 ** -int(n) for n in code.size) - 1) < 1e-12
     # with even votes each bit of a word costs one bit
     mixer = mixing.Mixer(mixing.Tables(), code, [])
-    spelling = mixing.Spelling(np.array([5, 9], np.uint64), b"ab c", code)
-    score = mixer.pair_scores(spelling, np.zeros(3, np.uint64), np.array([2, 0]), np.array([0, 1]))
+    words = np.array([5, 9], np.uint64)
+    spelling = mixing.Spelling(words, b"ab c", code)
+    score = mixer.pair_scores(words, b"ab c", np.array([2, 0]), np.array([0, 1]))
     assert score == pytest.approx(-np.log(2) * spelling.size, rel=1e-6)
 
 
