@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from tarnflow.llm.common import batches, bucket_of, partitions, splits
 
+#: Documents that make a range of their own worth a task.
+RANGE = 2000
 #: Bytes in the rolling window, smallest block size, most letters of a signature.
 WINDOW, SMALLEST, LETTERS = 7, 3, 64
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -147,10 +149,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     each range is also sent to the range before it, so that every task knows the one that follows.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    edges = splits(rows, "doc_id", partitions(docs.sparkSession))
-    first = rows.agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("m")).first()["m"]
+    found = rows.agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("m"), F.count(F.lit(1)).alias("n")).first()
+    first = found["m"]
     if first is None:
         return docs.sparkSession.createDataFrame([], SCHEMA)
+    edges = splits(rows, "doc_id", min(partitions(docs.sparkSession), -(-found["n"] // RANGE)))
     edges = [e for e in edges if e > first]
     bucket = bucket_of(F.col("doc_id"), edges)
     place = F.coalesce("doc_id", F.lit(-(2**63)))
