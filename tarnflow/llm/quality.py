@@ -33,7 +33,7 @@ from tarnflow.llm.common import batches, mix64, written
 
 ORDER = 5
 #: Trusted documents that a model is trained on; fewest for a language of its own; shards; distinct words that a worker keeps.
-TRUSTED, FEWEST, SHARDS, KEPT = 3000, 50, 16, 400_000
+TRUSTED, FEWEST, SHARDS, KEPT = 3000, 50, 16, 200_000
 HIGH, LOW, TAIL, FEWEST_LABELS = 0.995, 0.05, 0.9995, 20
 _BEGIN, _END = 2, 3
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -179,11 +179,12 @@ class Scorer:
     def perplexities(self, langs: list[str | None], texts: list[str | None]) -> list[float | None]:
         split: list[list[str]] = [(t or "").split() for t in texts]
         groups = [self.group(g) for g in langs]
+        if sum(map(len, self.kept.values())) > KEPT:
+            for known in self.kept.values():
+                known.clear()
         if self.models:
             for group in set(groups):
                 known = self.kept[group]
-                if len(known) > KEPT:
-                    known.clear()
                 new = list({w for g, words in zip(groups, split) if g == group for w in words if w not in known})
                 for begin in range(0, len(new), 20_000):
                     part = new[begin : begin + 20_000]
