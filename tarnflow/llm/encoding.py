@@ -33,7 +33,8 @@ def raw(ids) -> bytes:
 
 
 class Encoder:
-    def __init__(self, path: str, word_ends: bool):
+    def __init__(self, path: str, word_ends: bool, kept: int = KEPT):
+        self.kept = kept
         self.tokenizer = Tokenizer.from_file(path)
         self.word_ends = word_ends
         self.pieces: dict[str, bytes] = {}
@@ -83,7 +84,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > KEPT:
+        if len(self.pieces) > self.kept:
             self.pieces.clear()
         get = self.pieces.get
         split = [self.parts(t) for t in texts]
@@ -114,6 +115,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, word_ends: bool) -> Encoder:
+def encoder(path: str, word_ends: bool, kept: int = KEPT) -> Encoder:
     """One for each worker process and file."""
-    return Encoder(path, word_ends)
+    return Encoder(path, word_ends, kept)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnflow.llm.common import batches, partitions, written
-from tarnflow.llm.encoding import encoder
+from tarnflow.llm.encoding import KEPT, encoder
 
 #: Tokens that a sequence holds.
 CAPACITY = 4096
@@ -103,12 +103,12 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int = CAPACITY) -> tup
     return lines[np.lexsort((lines[:, 1], lines[:, 0]))], bins
 
 
-def pieces(docs: DataFrame, path: str, end_id: int, word_ends: bool = True, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int, word_ends: bool = True, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", kept: int = KEPT) -> DataFrame:
     """doc_id, piece, start, length and checksum of every document, cut only where it is longer than the capacity."""
     close = np.array([end_id], "<u4").tobytes()
 
     def encode(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path, word_ends)
+        code = encoder(path, word_ends, kept)
         for batch in batches(given):
             names, texts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [[], [], [], [], []]
             for begin in range(0, len(texts), 256):
@@ -154,6 +154,6 @@ def packed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.select(*parts.columns, "rank").mapInArrow(place, out)
 
 
-def pack(docs: DataFrame, path: str, end_id: int, word_ends: bool = True, capacity: int = CAPACITY) -> DataFrame:
-    """Documents to the pieces of packed sequences."""
-    return packed(written(pieces(docs, path, end_id, word_ends, capacity), "pieces"), capacity)
+def pack(docs: DataFrame, path: str, end_id: int, word_ends: bool = True, capacity: int = CAPACITY, kept: int = KEPT) -> DataFrame:
+    """Documents to the pieces of packed sequences; a worker keeps the ids of up to about ``kept`` words."""
+    return packed(written(pieces(docs, path, end_id, word_ends, capacity, kept=kept), "pieces"), capacity)
