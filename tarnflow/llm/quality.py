@@ -155,15 +155,16 @@ def train(trusted: DataFrame) -> dict[str, Model]:
         return pa.table({"group": [key[0].as_py()], "keys": pa.array([keys[first].tobytes()], pa.binary()), "contexts": pa.array([contexts[first].tobytes()], pa.binary()), "counts": pa.array([summed.tobytes()], pa.binary()), "words": [sum(table["words"].to_pylist())], "repeats": [sum(table["repeats"].to_pylist())]})
 
     fields = "keys binary, contexts binary, counts binary, words bigint, repeats bigint"
-    lines = trusted.mapInArrow(count, f"group string, shard bigint, {fields}").groupBy("group", "shard").applyInArrow(join, f"group string, {fields}").collect()
-    held: dict[str, list] = {}
-    for line in lines:
-        held.setdefault(line["group"], []).append(line)
+    counted = written(trusted.mapInArrow(count, f"group string, shard bigint, {fields}").groupBy("group", "shard").applyInArrow(join, f"group string, {fields}"), "ngrams")
     models = {}
-    for group, parts in held.items():
-        keys = np.frombuffer(b"".join(bytes(p["keys"]) for p in parts), np.uint64).reshape(-1, ORDER)
+    for group in sorted(r["group"] for r in counted.select("group").distinct().collect()):
+        parts = counted.where(F.col("group") == group).collect()  # one model's n-grams at a time
+        joined = {name: b"".join(bytes(p[name]) for p in parts) for name in ("keys", "contexts", "counts")}
+        words, repeats = sum(p["words"] for p in parts), sum(p["repeats"] for p in parts)
+        del parts
+        keys = np.frombuffer(joined["keys"], np.uint64).reshape(-1, ORDER)
         if len(keys):
-            models[group] = Model(keys, np.frombuffer(b"".join(bytes(p["contexts"]) for p in parts), np.uint64).reshape(-1, ORDER), np.frombuffer(b"".join(bytes(p["counts"]) for p in parts), np.int64), sum(p["words"] for p in parts), sum(p["repeats"] for p in parts))
+            models[group] = Model(keys, np.frombuffer(joined["contexts"], np.uint64).reshape(-1, ORDER), np.frombuffer(joined["counts"], np.int64), words, repeats)
     return models
 
 
