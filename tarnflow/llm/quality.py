@@ -89,8 +89,7 @@ class Model:
                 n_keys, n_contexts, n = n_keys[first], n_contexts[first], np.bincount(inverse).astype(np.int64)
         vocabulary = len(levels[-1][0]) + 1
         self.floor = 1.0 / vocabulary
-        below = None
-        for depth, (key, context, c) in enumerate(reversed(levels)):
+        for key, context, c in reversed(levels):
             n1, n2, n3, n4 = ((c == k).sum() for k in (1, 2, 3, 4))
             y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
             d = np.clip([0, 1 - 2 * y * n2 / max(n1, 1), 2 - 3 * y * n3 / max(n2, 1), 3 - 4 * y * n4 / max(n3, 1)], [0, 0.05, 0.1, 0.1], [0, 0.95, 1.9, 2.9])
@@ -99,8 +98,9 @@ class Model:
             gamma = np.bincount(inverse, weights=d[np.minimum(c, 3)]) / total
             own = (c - d[np.minimum(c, 3)]) / total[inverse]
             self.levels.append((*self._sorted(key, own), *self._sorted(ctx, gamma)))
-            below = depth
-        self.depth = below
+        # the whole sum of each trained n-gram of the highest order: most lookups end there
+        order = np.argsort(keys[:, ORDER - 1])
+        self.known, self.sums = keys[order, ORDER - 1], np.log(self._interpolated(keys[order], contexts[order]))
 
     @staticmethod
     def _sorted(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,13 +110,21 @@ class Model:
     def log_probability(self, words: list[str]) -> np.ndarray:
         """Natural logarithm of each word's probability, its end included."""
         keys, contexts, word = grams(words)
+        at = np.minimum(np.searchsorted(self.known, keys[:, ORDER - 1]), len(self.known) - 1)
+        logs = self.sums[at]
+        other = np.flatnonzero(self.known[at] != keys[:, ORDER - 1])
+        logs[other] = np.log(self._interpolated(keys[other], contexts[other]))
+        return np.bincount(word, weights=logs, minlength=len(words))
+
+    def _interpolated(self, keys: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """The probability of each n-gram's last symbol, from the lowest order up."""
         p = np.full(len(keys), self.floor)
         for order, (key, own, ctx, gamma) in enumerate(self.levels):
             at = np.minimum(np.searchsorted(ctx, contexts[:, order]), len(ctx) - 1)
             known = ctx[at] == contexts[:, order]
             there = np.minimum(np.searchsorted(key, keys[:, order]), len(key) - 1)
             p = np.where(known, np.where(key[there] == keys[:, order], own[there], 0.0) + gamma[at] * p, p)
-        return np.bincount(word, weights=np.log(p), minlength=len(words))
+        return p
 
 
 def train(trusted: DataFrame) -> dict[str, Model]:
@@ -273,7 +281,8 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier keeps, with all their columns."""
     classifier = Classifier(docs, labels)
-    classifier.set_thresholds(classifier.scored(docs))
+    labelled = docs.withColumn("__id", F.col("doc_id").cast("bigint")).join(classifier.labels.select(F.col("doc_id").alias("__id")), "__id", "left_semi")
+    classifier.set_thresholds(classifier.scored(labelled))
     models, limits = classifier.models, classifier.thresholds
     lang_at, text_at = docs.columns.index("lang"), docs.columns.index("text")
 
