@@ -289,6 +289,45 @@ def test_decisions_are_a_distribution():
     assert score == pytest.approx(-np.log(2) * spelling.size, rel=1e-6)
 
 
+def test_contexts_have_room_and_counts_do_not_wrap():
+    assert all(b >= a for a, b in zip(mixing.BITS, mixing.bits_for(0)))
+    assert all(1 << mixing.bits_for(n)[4] >= 16 * n for n in (10**5, 10**6, 10**7))
+    # one word, three thousand million times in two blocks
+    code = mixing.Code(np.ones(258))
+    vocabulary = mixing.vocabulary_of(b" ab")
+    spelled = b" ".join(b"" if h == mixing._END else b"ab" for h in vocabulary)
+    tables = mixing.Tables()
+    for _ in range(2):
+        tables.learn({"spelled": spelled, "counts": np.where(vocabulary == mixing._END, 0, 1_500_000_000).astype(np.int64).tobytes()}, code)
+    assert all(t.min() >= 0 and t.max() == 3_000_000_000 for t in tables.n[3:])
+
+
+def test_pairs_of_neighbours_do_not_share_slots():
+    # more contexts than a table of 2^21 slots holds apart: each is counted for itself
+    rng = np.random.default_rng(1)
+    befores, decisions = 6_000, 400
+    before = np.repeat(np.arange(befores), decisions)
+    rest = np.tile(rng.choice(2**32, decisions, replace=False).astype(np.uint32), befores)
+    bit, times = rng.integers(0, 2, len(before)).astype(bool), rng.integers(0, 5, len(before))
+    zeros, ones = mixing.pair_counts(rest, before, bit, times)
+    assert (zeros == times * ~bit).all() and (ones == times * bit).all()
+    # all that follows a word is in one run and one shard
+    group = np.sort(rng.integers(0, 9, 20_000))
+    runs = [group[r] for r in mixing.pair_runs(group)]
+    assert len(np.concatenate(runs)) == len(group) and all(a[-1] < b[0] for a, b in zip(runs, runs[1:]))
+    h = rng.integers(0, 2**63, 100).astype(np.uint64)
+    assert (mixing.shard_of(h, 7) == mixing.shard_of(h[::-1], 7)[::-1]).all()
+
+
+def test_scores_do_not_depend_on_shards(docs, monkeypatch):
+    def run():
+        return {r["doc_id"]: r["score"] for r in mixing.scores(docs).collect()}
+
+    whole = run()
+    monkeypatch.setattr(mixing, "partitions", lambda spark: 1)
+    assert run() == pytest.approx(whole, rel=1e-4)
+
+
 # ------------------------------------------------------------------ personal data
 def luhn(s):
     return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(s)))) % 10 == 0
