@@ -291,7 +291,8 @@ def test_decisions_are_a_distribution():
 
 def test_contexts_have_room_and_counts_do_not_wrap():
     assert all(b >= a for a, b in zip(mixing.BITS, mixing.bits_for(0)))
-    assert all(1 << mixing.bits_for(n)[4] >= 16 * n for n in (10**5, 10**6, 10**7))
+    # four bytes: 447,000 contexts for 404,216 words of sf0.1
+    assert 1 << mixing.bits_for(404_216)[3] >= 2 * 447_000 and mixing.bits_for(10**8)[3] > mixing.bits_for(10**6)[3] > mixing.bits_for(0)[3]
     # one word, three thousand million times in two blocks
     code = mixing.Code(np.ones(258))
     vocabulary = mixing.vocabulary_of(b" ab")
@@ -319,6 +320,23 @@ def test_pairs_of_neighbours_do_not_share_slots():
     assert (mixing.shard_of(h, 7) == mixing.shard_of(h[::-1], 7)[::-1]).all()
 
 
+def test_weights_are_fitted_to_every_training_pair(docs, texts, monkeypatch):
+    given, sums = [], mixing.fitted
+
+    def fitted(pairs, tables, code):
+        weight, seen = sums(pairs, tables, code)
+        times = sum(int((mixing.unpacked(r.asDict())[3]).sum()) for r in pairs.collect())
+        given.append((times, tables.n[0].sum(), seen.sum()))
+        return weight, seen
+
+    monkeypatch.setattr(mixing, "fitted", fitted)
+    mixing.scores(docs).collect()
+    # every training token is in a pair, and every decision of it, as often as it comes, is in the map's sums
+    (times, decisions, seen), = given
+    tokens = [len(re.findall(rb"[^\x20\x09-\x0D]+", t.encode())) + 1 for i, t in texts.items() if not mixing.is_held_out(i)]
+    assert times == sum(tokens) and seen == decisions
+
+
 def test_scores_do_not_depend_on_shards(docs, monkeypatch):
     def run():
         return {r["doc_id"]: r["score"] for r in mixing.scores(docs).collect()}
