@@ -346,6 +346,13 @@ def test_scores_do_not_depend_on_shards(docs, monkeypatch):
     assert run() == pytest.approx(whole, rel=1e-4)
 
 
+def test_scores_do_not_depend_on_the_layout(docs):
+    """Blocks of a task change with the files; the model and so the scores don't."""
+    one = {r["doc_id"]: r["score"] for r in mixing.scores(docs.coalesce(1)).collect()}
+    seven = {r["doc_id"]: r["score"] for r in mixing.scores(docs.repartition(7, "doc_id")).collect()}
+    assert one == pytest.approx(seven, rel=1e-5)
+
+
 # ------------------------------------------------------------------ personal data
 def luhn(s):
     return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(s)))) % 10 == 0
