@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tarnflow.llm import archives, decontamination, encoding, extraction, fingerprints, mixing, neardup, packing, privacy, quality, tokenfiles
@@ -209,40 +210,103 @@ def test_pages(spark, sf_small):
 
 
 # ------------------------------------------------------------------ quality
-def test_kneser_ney_sums_to_one_and_knows_its_text():
-    words = {"abab": 5, "abc": 2, "bca": 1, "caab": 3, "b": 4}
-    keys, contexts, counts = quality._count_rows(words)
-    model = quality.Model(keys, contexts, counts, 15, 1)
-    assert model.log_probability(["abab"])[0] > model.log_probability(["bbbb"])[0] > model.log_probability(["zzzz"])[0]
-    # over all continuations of a context the probabilities add up to one, an unknown symbol having the rest
-    import tarnflow.llm.quality as q
-
-    def total(prefix):
-        base = model.log_probability([prefix])[0]
-        del base
-        k, c, _ = q.grams([prefix + s for s in ("a", "b", "c", "z")])
-        return k, c
-
-    assert total("ab")[0].shape[1] == quality.ORDER
-    p = 0.0
-    for s in ("a", "b", "c", "z"):
-        k, c, word = q.grams(["ab" + s])
-        p += _p(model, k[2], c[2])
-    k, c, _ = q.grams(["ab"])
-    p += _p(model, k[2], c[2])
-    assert abs(p - 1) < 1e-6
-
-
-def _p(model, key, context):
-    p = model.floor
-    for order, (keys, own, ctx, gamma) in enumerate(model.levels):
-        at = np.searchsorted(ctx, context[order])
-        if at < len(ctx) and ctx[at] == context[order]:
-            there = np.searchsorted(keys, key[order])
-            p = (own[there] if there < len(keys) and keys[there] == key[order] else 0.0) + gamma[at] * p
+def pieces(text):
+    """A text's symbols one by one."""
+    words, out = (text or "").split(), ["^"] * (quality.ORDER - 1)
+    for k, w in enumerate(words):
+        w = ("\n" if k and w == words[k - 1] else w) + " "
+        out += [w[i : i + 2] for i in range(0, len(w), 2)]
+    return tuple(out) if words else ()
+
+
+def slow_kneser_ney(texts, order):
+    """An interpolated modified Kneser-Ney model of symbols in dictionaries: a function of (context, symbol)."""
+    counts = [Counter() for _ in range(order)]
+    for t in texts:
+        for k in range(order - 1, len(t)):
+            counts[order - 1][t[k - order + 1 : k + 1]] += 1  # t is a tuple
+    for n in range(order - 2, -1, -1):
+        for gram in counts[n + 1]:
+            counts[n][gram[1:]] += 1
+    floor, levels = 1 / (len(counts[0]) + 1), []
+    for c in counts:
+        n1, n2, n3, n4 = (sum(x == k for x in c.values()) for k in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        lower = {1: min(max(1 - 2 * y * n2 / max(n1, 1), 0.05), 0.95), 2: min(max(2 - 3 * y * n3 / max(n2, 1), 0.1), 1.9), 3: min(max(3 - 4 * y * n4 / max(n3, 1), 0.1), 2.9)}
+        total, freed = Counter(), Counter()
+        for gram, x in c.items():
+            total[gram[:-1]] += x
+            freed[gram[:-1]] += lower[min(x, 3)]
+        levels.append((c, lower, total, freed))
+
+    def p(context, symbol):
+        value = floor
+        for n, (c, lower, total, freed) in enumerate(levels):
+            h = context[len(context) - n :]
+            if h in total:
+                x = c.get((*h, symbol), 0)
+                value = (x - lower[min(x, 3)] if x else 0) / total[h] + freed[h] / total[h] * value
+        return value
+
     return p
 
 
+@pytest.mark.parametrize("fewest", [5, 10**9])
+def test_perplexities_are_those_of_a_slow_kneser_ney(spark, sf_small, monkeypatch, fewest):
+    monkeypatch.setattr(quality, "FEWEST", fewest)
+    docs, labels = spark.read.parquet(f"{sf_small}/documents.parquet"), spark.read.parquet(f"{sf_small}/labels.parquet")
+    rows, good = docs.select("doc_id", "lang", "text").collect(), {r["doc_id"] for r in labels.where("quality = 1").collect()}
+    trusted = [r for r in rows if r["doc_id"] in good]
+    n = Counter(r["lang"] for r in trusted)
+    own = {g for g, k in n.items() if k >= fewest}
+    assert bool(own) == (fewest == 5)
+    models = {g: slow_kneser_ney([pieces(r["text"]) for r in trusted if g in ("", r["lang"])], quality.ORDER) for g in own | {""}}
+    found = {r["doc_id"]: r["perplexity"] for r in quality.judged(docs, labels).collect()}
+    assert sorted(found) == sorted(r["doc_id"] for r in rows)
+    for r in rows[:60]:
+        s, p = pieces(r["text"]), models[r["lang"] if r["lang"] in own else ""]
+        logs = [math.log(p(s[k - quality.ORDER + 1 : k], s[k])) for k in range(quality.ORDER - 1, len(s))]
+        assert found[r["doc_id"]] == (pytest.approx(math.exp(-sum(logs) / len(logs)), rel=1e-9) if logs else None)
+
+
+def test_probabilities_add_up_to_one():
+    known, every, _ = quality.symbols_of([quality.stream("the cat sat on the mat and the dog sat on the log")])
+    (_, numbers), = quality.windows(known, every)
+    grams, counts = quality.distinct(known[numbers])
+    pairs, before, tallies, level, n = None, None, [quality.tally(counts)], grams, counts
+    while len(level) > 1:
+        level, n = quality.distinct(level[1:])
+        tallies.append(quality.tally(n))
+        if len(level) == 2:
+            pairs, before = level, n
+    shard = quality.Shard(grams, counts, pairs, before, np.array(tallies[::-1]))
+    symbols = np.unique(pairs[1])
+    for k in range(0, grams.shape[1], 7):
+        every = np.repeat(grams[:, [k]], len(symbols) + 1, axis=1)
+        every[-1] = np.append(symbols, np.uint64(1))  # and one that is unknown
+        assert shard.probabilities(every).sum() == pytest.approx(1)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 0x10FFFF), min_size=6, max_size=6), min_size=1, max_size=30), st.integers(1, 5))
+def test_ranks_order_rows_as_they_are(rows, repeat):
+    rows = rows * repeat
+    key, bits = quality.ranked(np.array(rows, np.uint32).T)
+    order, new = quality.in_order(np.array(rows, np.uint32).T)
+    assert int(key.max()).bit_length() <= bits and order.tolist() == sorted(range(len(rows)), key=lambda k: (rows[k], k)) and new.sum() == len(set(map(tuple, rows)))
+
+
+def test_word_order_counts_and_layout_does_not(spark, sf_small):
+    docs, labels = spark.read.parquet(f"{sf_small}/documents.parquet"), spark.read.parquet(f"{sf_small}/labels.parquet")
+    plain = {r["doc_id"]: r["perplexity"] for r in quality.judged(docs, labels).collect()}
+    spread = {r["doc_id"]: r["perplexity"] for r in quality.judged(docs.repartition(5, "doc_id"), labels).collect()}
+    assert plain == pytest.approx(spread, rel=1e-9)
+    turned = docs.withColumn("text", F.array_join(F.reverse(F.split("text", r"\s+")), " ")).join(labels.select("doc_id"), "doc_id", "left_anti")
+    mixed = {r["doc_id"]: r["perplexity"] for r in quality.judged(docs.join(labels.select("doc_id"), "doc_id", "left_semi").unionByName(turned), labels).collect()}
+    changed = [i for i in plain if plain[i] and mixed[i] and abs(plain[i] / mixed[i] - 1) > 1e-6]
+    assert len(changed) > 50
+
+
 def test_quality_on_held_out_labels(spark, sf_medium):
     docs, labels = spark.read.parquet(f"{sf_medium}/documents.parquet"), spark.read.parquet(f"{sf_medium}/labels.parquet")
     rows = quality.judged(docs, labels).join(labels, "doc_id").collect()
@@ -260,6 +324,9 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert len(rows) == len(ODD) and all(not r["keep"] for r in rows if r["perplexity"] is None)
     assert quality.judged(none, labels).count() == 0
     assert quality.accepted(odd, labels.limit(0)).count() == sum(bool((t or "").split()) for _, t, _ in ODD)
+    clash = odd.withColumnsRenamed({"mark": "m", "bucket": "keep"}).withColumn("i", F.lit(3)).withColumn("row", F.lit("r"))
+    kept = quality.accepted(clash, labels)
+    assert kept.columns == clash.columns and quality.accepted(none, labels).count() == 0 and set(r["row"] for r in kept.collect()) <= {"r"}
 
 
 # ------------------------------------------------------------------ context mixing
