@@ -1,15 +1,19 @@
 """Main text of HTML pages by text-to-tag ratio.
 
 The standard library's streaming parser turns a page into lines, one for each block of text, with
-the number of characters and of tags that belong to it. The ratio of text to tags, line by line,
-is smoothed by a Gaussian, and two-means clustering of its logarithm gives the threshold above
-which a line seeds the content. The element that holds most of the seeds' text without the page's
-furniture is the content region: its lines are the main text, in page order, also those too short
-to be seeds. What stands in navigation, headers, footers, asides, forms, scripts, styles, or in
-elements that name themselves adverts, notices or reader comments has no weight and is left out.
+the number of characters and of tags that belong to it. The ratio of text to tags is lowered by
+``PRIOR`` for each element around the line that names itself an advert, a notice or reader
+comments, and is nothing in navigation, headers, footers, asides and forms. Line by line it is
+smoothed by a Gaussian, and two-means clustering of the logarithms gives the threshold above which a
+line belongs to the content. The content region is the element with the most text of such lines less
+``COST`` of the text of others, the innermost of equals, and its headings if they stand before it;
+inside an article or main element the text of others counts a little for it. The region's lines are
+the main text, in page order, also the short ones, without those of elements that name themselves
+something else and hold no content line. So a name alone drops nothing: an article in an element with
+a misleading name is lower than it might be, but still above the rest.
 
 Null, empty and tag-only pages give an empty text. Pages without any region (plain text) give all
-their lines. Every row gives one row.
+their lines. Every row gives one row, whatever its id.
 """
 
 from __future__ import annotations
@@ -30,13 +34,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset("script style noscript template head title svg math canvas object iframe select option textarea button".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog fieldset".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Roles and words in class or id that mark what isn't the article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SINGLE = HEADINGS | frozenset("p li dt dd td th tr caption summary figcaption pre address".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Words in a class or id that say that an element isn't the article, and words that say nothing beside them.
 MARKS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription"
     " nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar sidebar sidebars aside widget widgets related recommended share sharing social footer header masthead"
     " comment comments comentarios kommentare commentaires disqus reply replies respond discussion login signup search form".split()
 )
+NEUTRAL = frozenset("list box block wrap wrapper container area section bar item items inner outer site top bottom left right thread reader readers user the js".split())
+#: Elements whose names are of text in the article, not of parts of the page.
+TEXT = frozenset("html body article main h1 h2 h3 h4 h5 h6 p li td th dt dd span a b i em strong blockquote pre figcaption".split())
+#: What a name lowers the ratio to; the share of other lines' text that counts against an element, and for it inside an article.
+PRIOR, COST, INSIDE = 0.02, 0.5, 0.05
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 #: Elements that an opening tag closes when they are the innermost open one of the kind.
@@ -45,13 +56,19 @@ _P_CLOSERS = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoo
 
 
 def is_furniture(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-    if tag in FURNITURE:
-        return True
-    for name, value in attributes:
-        if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if value and (name == "role" and value.lower() in ROLES or name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(w.lower() in MARKS for w in _WORDS.findall(value))):
-            return True
+    """Whether an element is not of the article by its tag or role."""
+    return tag in FURNITURE or any(name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and (value or "").lower() in ROLES for name, value in attributes)
+
+
+def is_marked(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether a name of an element, all its words taken together, says that it is not of the article."""
+    if tag not in TEXT:
+        for name, value in attributes:
+            if value and name in ("class", "id"):
+                for one in value.split():
+                    words = {w.lower() for w in _WORDS.findall(one)}
+                    if words & MARKS and words <= MARKS | NEUTRAL:
+                        return True
     return False
 
 
@@ -63,6 +80,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, int, bool, bool]] = []  # tag, number, furniture, silent
         self.path: tuple[int, ...] = ()
         self.tags: dict[int, str] = {}
+        self.marked: set[int] = set()
         self.parts: list[str] = []
         self.seen = 0
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
@@ -80,7 +98,7 @@ class Lines(HTMLParser):
         if any(t in BLOCKS for t, *_ in self.open[k:]):
             self.flush()
         del self.open[k:]
-        self.path = tuple(n for t, n, _, _ in self.open if t in BLOCKS)
+        self.path = tuple(n for t, n, _, _ in self.open if t in BLOCKS or n in self.marked)
 
     def handle_starttag(self, tag, attrs):
         self.seen += 1
@@ -109,8 +127,10 @@ class Lines(HTMLParser):
             self.flush()
         self.elements += 1
         self.tags[self.elements] = tag
+        if is_marked(tag, attrs):
+            self.marked.add(self.elements)
         self.open.append((tag, self.elements, above[2] or is_furniture(tag, attrs), above[3] or tag in SILENT))
-        if tag in BLOCKS:
+        if tag in BLOCKS or self.elements in self.marked:
             self.path = (*self.path, self.elements)
 
     def handle_startendtag(self, tag, attrs):
@@ -133,12 +153,12 @@ class Lines(HTMLParser):
             self.parts.append(data)
 
 
-def lines_of(html: str) -> tuple[list[tuple[str, int, tuple[int, ...], bool]], dict[int, str]]:
+def lines_of(html: str) -> Lines:
     reader = Lines()
     reader.feed(html)
     reader.close()
     reader.flush()
-    return reader.lines, reader.tags
+    return reader
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -166,27 +186,34 @@ def threshold(values: np.ndarray) -> float:
 
 def main_text(html: str | None) -> str:
     """The page's main text, blocks joined by one space."""
-    lines, tags = lines_of(html or "")
-    kept = [line for line in lines if not line[3]]
-    if not kept:
+    page = lines_of(html or "")
+    lines, marked = page.lines, page.marked
+    if all(line[3] for line in lines):
         return ""
-    ratios = smoothed(np.array([0.0 if line[3] else len(line[0]) / line[1] for line in lines]))
+    prior = np.array([0.0 if line[3] else PRIOR ** len(marked.intersection(line[2])) for line in lines])
+    # lowered before, so that it lifts no neighbours, and after, so that these don't lift it
+    ratios = smoothed(prior * [len(line[0]) / line[1] for line in lines]) * prior
     at = threshold(ratios)
-    seeds = [line for line, ratio in zip(lines, ratios) if not line[3] and ratio >= at] or kept
-    weight: dict[int, int] = {}
-    for text, _, path, _ in seeds:
-        for k in path:
-            weight[k] = weight.get(k, 0) + len(text)
-    total = sum(len(s[0]) for s in seeds)
-    # the innermost element with most of the seeds' text; an article or main element goes before plain ones
-    named = [k for k in weight if tags[k] in ("article", "main") and 2 * weight[k] >= total]
-    if named:
-        region = max(named, key=lambda k: (weight[k], k))
-    else:
-        whole = [k for k in weight if 10 * weight[k] >= 9 * total and tags[k] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr")]
-        region = max(whole, default=0)
-    inside = [line for line in kept if region in line[2]] if region else kept
-    return " ".join(line[0] for line in inside)
+    gain: dict[int, float] = {}
+    full: set[int] = set()  # elements with a content line
+    for (text, _, path, furniture), ratio in zip(lines, ratios):
+        if not furniture:
+            weight = 1.0 if ratio >= at else INSIDE if any(page.tags[k] in ("article", "main") for k in path) else -COST
+            for k in path:
+                gain[k] = gain.get(k, 0.0) + weight * len(text)
+            if weight == 1.0:
+                full.update(path)
+    kept = [line for line in lines if not line[3] and all(k in full for k in marked.intersection(line[2]))]
+    # a paragraph or a cell is no region; the whole page, which has number 0, is
+    gain[0] = sum(gain.get(k, 0.0) for k in {line[2][0] for line in lines if not line[3] and line[2]}) + sum(len(line[0]) for line in lines if not line[3] and not line[2])
+    region = max((k for k in gain if not k or page.tags[k] not in SINGLE), key=lambda k: (gain[k], k))
+    above = next((line[2] for line in lines if region in line[2]), ())
+    for outer in above[: above.index(region)][::-1] if region else ():
+        more = [line[2][-1] for line in kept if outer in line[2] and region not in line[2]]
+        if not all(page.tags[k] in HEADINGS and k < region for k in more):
+            break
+        region = outer if more else region
+    return " ".join(line[0] for line in kept if not region or region in line[2])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

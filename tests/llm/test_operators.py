@@ -198,6 +198,44 @@ def test_main_text():
     assert extraction.main_text("<p>a" * 3000).count("a") == 3000
 
 
+LINKS = "".join(f"<div><a href='/{k}'>{w}</a> <a href='/x'>more</a> <a href='/y'>on it</a></div>" for k, w in enumerate("Home News Sport Travel Money Weather Shops Jobs".split()))
+BODY = "<h1>A title of the page</h1>" + "".join(f"<p>{w} paragraph that goes on for long enough to be told from the links of the page, sentence after sentence.</p>" for w in ("First", "Second", "Third")) + "<p>Ok.</p><p>The last one is long again, and says in many words what could be said in few.</p>"
+TOLD = "A title of the page " + " ".join(f"{w} paragraph that goes on for long enough to be told from the links of the page, sentence after sentence." for w in ("First", "Second", "Third")) + " Ok. The last one is long again, and says in many words what could be said in few."
+
+
+@pytest.mark.parametrize("page", [
+    "<body><div>{links}</div><div>{body}</div></body>",  # nothing but the ratios tells them apart
+    "<body><div>{links}</div><div class='page'><div><div>{body}</div></div></div><div>{links}</div></body>",
+    "<body><div class='sidebar'>{links}</div><div class='comment-form widget'>{body}</div></body>",  # a misleading name
+    "<body><div class='has-sidebar ad-free'><div>{links}</div><section id='share-prices'>{body}</section></div></body>",
+    "<body><div>{links}</div><main><div class='story'><div>{body}</div></div><div class='newsletter'>{links}</div></main></body>",
+    "<body><article>{body}<div class='related'>{links}</div></article><div id='comments'><div class='comment'><p>A reader wrote this, and it is as long as any paragraph of the article itself, or longer still.</p></div></div></body>",
+])
+def test_main_text_without_article_or_with_misleading_names(page):
+    assert extraction.main_text(page.format(links=LINKS, body=BODY)) == TOLD
+
+
+def test_ratios_decide(monkeypatch):
+    page = f"<body><div>{LINKS}</div><div>{BODY}</div></body>"
+    monkeypatch.setattr(extraction, "smoothed", lambda ratios: np.ones(len(ratios)))
+    assert extraction.main_text(page) != TOLD  # all ratios alike: the links are content too
+    monkeypatch.setattr(extraction, "smoothed", lambda ratios: ratios[::-1])
+    assert extraction.main_text(page) != TOLD
+
+
+def test_names_of_text_drop_nothing():
+    page = "<body><article><h1 class='page-header'>Title</h1><p>Body of it.</p><p class='share-price'>Shares rose.</p><p class='notice'>And so on.</p></article></body>"
+    assert extraction.main_text(page) == "Title Body of it. Shares rose. And so on."
+
+
+def test_odd_pages(spark):
+    schema = "page_id bigint, url string, html string, text string, n_chars int"
+    rows = [(None, None, None, "clash", 1), (1, "u", "", "clash", 1), (2, "u", "<article>Same</article>", "clash", 1), (2, "u", "<article>Same</article>", "clash", 1), (3, "", "<p>" + "word " * 100_000, "clash", 1), (4, "u", "<<<>>&&&amp;", None, None)]
+    found = extraction.extract(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in found) == [(0, 0), (1, 0), (2, 4), (2, 4), (3, 499_999), (4, len(extraction.main_text("<<<>>&&&amp;")))]
+    assert extraction.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_pages(spark, sf_small):
     pages = spark.read.parquet(f"{sf_small}/pages.parquet")
     rows = {r["page_id"]: r for r in extraction.extract(pages).collect()}
