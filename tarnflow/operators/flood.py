@@ -35,13 +35,10 @@ def accumulate_within(net: DataFrame, mask: str, value: str, out: str) -> DataFr
     return tree.accumulate(inside.join(there, "ds", "left").select("id", F.when(F.col("ok"), F.col("ds")).alias("ds"), value), value, out)
 
 
-def levels(low: float, most: float) -> list[float]:
-    """Accumulation thresholds, ten times each, while below half of the largest."""
-    out, x = [float(low)], low * 10.0
-    while x < most / 2:
-        out.append(x)
-        x *= 10
-    return out
+def levels(spark, low: float, most: float) -> DataFrame:
+    """Accumulation thresholds: ``low`` and its tenfold multiples below half of the largest."""
+    powers = F.transform(F.sequence(F.lit(0), F.lit(18)), lambda k: F.lit(float(low)) * F.pow(F.lit(10.0), k))
+    return spark.range(1).select(F.explode(F.filter(powers, lambda x: (x <= low) | (x < most / 2))).alias("level"))
 
 
 def stages(spark) -> DataFrame:
@@ -68,13 +65,12 @@ def plain_area(cells: DataFrame, cell_area: float, size: float) -> DataFrame:
 def rating(cells: DataFrame, reach: DataFrame, ys: DataFrame, cell_area: float, plain_n: float) -> DataFrame:
     """Flow and flooded area of each reach at each stage.
 
-    Cells (reach, hand, area) are first summed by reach and the first stage above them; a running
-    expression over the few stages then needs no join of cells by stages: (y - h) to 5/3 isn't a
-    polynomial, so heights go in bins of a centimetre.
+    Each cell (reach, hand, area) gives its part at the stages above it from the fixed grid of these;
+    parts are summed by reach and stage before they are exchanged, so that few rows are.
     """
-    binned = cells.where("hand is not null").groupBy("reach", F.greatest(F.round("hand", 2), F.lit(0.0)).alias("h")).agg(F.sum("area").alias("area"), F.count(F.lit(1)).alias("n"))
     few = F.broadcast(ys)  # a fixed grid of stages
-    met = binned.join(few, F.col("h") < F.col("y")).groupBy("reach", "k").agg(F.sum(F.col("area") * F.pow(F.col("y") - F.col("h"), F.lit(5 / 3)) / plain_n).alias("f"), (F.sum("n") * cell_area).alias("flooded"))
+    wet = cells.where("hand is not null").withColumn("h", F.greatest("hand", F.lit(0.0))).join(few, F.col("h") < F.col("y"))
+    met = wet.groupBy("reach", "k").agg(F.sum(F.col("area") * F.pow(F.col("y") - F.col("h"), F.lit(5 / 3)) / plain_n).alias("f"), (F.count(F.lit(1)) * cell_area).alias("flooded"))
     full = reach.join(few).join(met, ["reach", "k"], "left")
     h = F.col("bank") + F.col("y")
     area = F.col("width") * h

@@ -13,9 +13,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnflow.plans.store import cut
+
 #: Cells that a single group may hold.
 MOST_CELLS = 5_000_000
-SCHEMES = ("kinematic", "diffusive", "muskingum", "dynamic", "implicit")
+#: Explicit schemes; the implicit one is in ``implicit``.
+SCHEMES = ("kinematic", "diffusive", "muskingum", "dynamic")
 
 
 def _positions(ids: np.ndarray, ds: np.ndarray) -> np.ndarray:
@@ -51,7 +54,7 @@ def route(cells: pd.DataFrame, rain: np.ndarray, dt: float, steps: int, every: i
     down = _positions(cells["id"].to_numpy(), cells["ds"].fillna(-1).to_numpy().astype(np.int64))
     z, s, dist, n = (cells[c].to_numpy(float) for c in ("z", "slope", "dist", "n"))
     has, safe, area = down >= 0, np.maximum(down, 0), size * size
-    levels = _levels(down) if scheme in ("muskingum", "implicit") else []
+    levels = _levels(down) if scheme == "muskingum" else []
     volume, q_old, in_old = np.zeros(len(z)), np.zeros(len(z)), np.zeros(len(z))
     out, total_in, total_out, sum_out = [], 0.0, 0.0, 0.0
     for k in range(steps):
@@ -79,17 +82,6 @@ def route(cells: pd.DataFrame, rain: np.ndarray, dt: float, steps: int, every: i
                 q[i] = np.minimum(q[i], np.maximum(volume[i] + (inflow[i] + lateral[i]) * dt, 0) / dt)
                 np.add.at(inflow, safe[i][has[i]], q[i][has[i]])
             in_old = inflow
-        else:
-            # backward Euler on each storage, donors first: v + dt k v^(5/3) = known
-            q = np.zeros(len(z))
-            known = volume + lateral * dt
-            rate = np.sqrt(s) * size / n / area ** (5 / 3)
-            for i in levels:
-                v = np.maximum(known[i], 0)
-                for _ in range(12):
-                    v = np.maximum(v - (v + dt * rate[i] * v ** (5 / 3) - known[i]) / (1 + dt * rate[i] * 5 / 3 * v ** (2 / 3)), 0)
-                q[i] = np.minimum(np.maximum(known[i] - v, 0), np.maximum(known[i], 0)) / dt
-                np.add.at(known, safe[i][has[i]], q[i][has[i]] * dt)
         if scheme in ("kinematic", "diffusive", "dynamic"):
             q = np.minimum(q, np.maximum(volume, 0) / dt)
         volume = volume + (lateral - q) * dt
@@ -175,14 +167,102 @@ def _raster(rows: pd.DataFrame) -> tuple[np.ndarray, int, int]:
     return grid, r0, c0
 
 
-def fill_groups(cells: DataFrame, group: str = "basin") -> DataFrame:
-    """Depression filling of each group of cells on its own."""
+def lowered(z: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The lowest levels at which water can leave a tile with the rim of its neighbours around it (one row or column more on each side), from levels of the rim and of the edge that are known; unknown ones are infinite."""
+    rows, columns = z.shape
+    out = np.maximum(level, z)
+    heap = [(out[r, c], r, c) for r, c in zip(*np.nonzero(np.isfinite(out)))]
+    heapq.heapify(heap)
+    while heap:
+        at, r, c = heapq.heappop(heap)
+        if at > out[r, c]:
+            continue
+        for i in range(max(r - 1, 0), min(r + 2, rows)):
+            for j in range(max(c - 1, 0), min(c + 2, columns)):
+                new = max(z[i, j], at)
+                if new < out[i, j]:
+                    out[i, j] = new
+                    heapq.heappush(heap, (new, i, j))
+    return out
 
-    def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        grid, r0, c0 = _raster(rows)
-        return pd.DataFrame({"id": rows["id"], "z": filled(grid)[rows["r"] - r0, rows["c"] - c0]})
 
-    return cells.groupBy(group).applyInPandas(kernel, "id bigint, z double")
+def fill(cells: DataFrame, tile: int = 64) -> DataFrame:
+    """Depression filling of a whole grid (id, r, c, z): no cell below all ways out of it. Water leaves at the grid's edge and beside missing cells.
+
+    The grid is cut into tiles, and each is flooded from the levels around it; only its rim goes to its
+    neighbours, until no rim changes, which takes as many rounds as tiles lie on the longest way out.
+    """
+    keyed = cells.select("id", "r", "c", "z", F.floor(F.col("r") / tile).cast("bigint").alias("tr"), F.floor(F.col("c") / tile).cast("bigint").alias("tc"))
+    side = tile + 2
+
+    def tiles(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        grid = np.full((side, side), np.nan)
+        grid[rows["r"] - key[0] * tile + 1, rows["c"] - key[1] * tile + 1] = rows["z"]
+        return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "z": [grid.tobytes()]})
+
+    base = cut(keyed.groupBy("tr", "tc").applyInPandas(tiles, "tr bigint, tc bigint, z binary"))
+
+    def rims(frame: DataFrame, column: str) -> DataFrame:
+        """What each tile sees of its neighbours: a grid with the rim only."""
+
+        def spread(batches):
+            for rows in batches:
+                out = []
+                for tr, tc, data in zip(rows["tr"], rows["tc"], rows[column]):
+                    inner = np.frombuffer(data).reshape(side, side)[1:-1, 1:-1]
+                    for dr in (-1, 0, 1):
+                        for dc in (-1, 0, 1):
+                            if dr or dc:
+                                # the neighbour at (dr, dc) has this tile on its opposite side
+                                own = inner[{-1: slice(0, 1), 0: slice(None), 1: slice(-1, None)}[dr], {-1: slice(0, 1), 0: slice(None), 1: slice(-1, None)}[dc]]
+                                out.append((tr + dr, tc + dc, -dr, -dc, np.ascontiguousarray(own).tobytes()))
+                yield pd.DataFrame(out, columns=["tr", "tc", "dr", "dc", "rim"])
+
+        sent = frame.select("tr", "tc", column).mapInPandas(spread, "tr bigint, tc bigint, dr int, dc int, rim binary")
+        return sent.groupBy("tr", "tc").agg(F.collect_list(F.struct("dr", "dc", "rim")).alias(f"{column}_rims"))
+
+    def put(grid: np.ndarray, given) -> None:
+        place = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
+        for one in given if given is not None else ():
+            part = grid[place[one["dr"]], place[one["dc"]]]
+            part[...] = np.frombuffer(one["rim"]).reshape(part.shape)
+
+    def begin(batches):
+        for rows in batches:
+            out = []
+            for tr, tc, data, given in zip(rows["tr"], rows["tc"], rows["z"], rows["z_rims"]):
+                z = np.frombuffer(data).reshape(side, side).copy()
+                put(z, given)
+                gap = np.isnan(z)
+                beside = np.zeros(z.shape, bool)
+                for i in (-1, 0, 1):
+                    for j in (-1, 0, 1):
+                        beside[1:-1, 1:-1] |= gap[1 + i : side - 1 + i, 1 + j : side - 1 + j]
+                level = np.where(beside & ~gap, z, np.inf)
+                out.append((tr, tc, np.where(gap, np.inf, z).tobytes(), level.tobytes(), True))
+            yield pd.DataFrame(out, columns=["tr", "tc", "z", "level", "changed"])
+
+    def flood(batches):
+        for rows in batches:
+            out = []
+            for tr, tc, data, held, given in zip(rows["tr"], rows["tc"], rows["z"], rows["level"], rows["level_rims"]):
+                z, level = np.frombuffer(data).reshape(side, side), np.frombuffer(held).reshape(side, side).copy()
+                before = level[1:-1, 1:-1].copy()
+                put(level, given)
+                level = lowered(z, level)
+                out.append((tr, tc, data, level.tobytes(), bool((level[1:-1, 1:-1] != before).any())))
+            yield pd.DataFrame(out, columns=["tr", "tc", "z", "level", "changed"])
+
+    schema = "tr bigint, tc bigint, z binary, level binary, changed boolean"
+    now = cut(base.join(rims(base, "z"), ["tr", "tc"], "left").mapInPandas(begin, schema))
+    while not now.where("changed").isEmpty():
+        now = cut(now.join(rims(now, "level"), ["tr", "tc"], "left").mapInPandas(flood, schema))
+
+    def spill(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        level = np.frombuffer(right["level"].iloc[0]).reshape(side, side)
+        return pd.DataFrame({"id": left["id"], "z": level[left["r"] - key[0] * tile + 1, left["c"] - key[1] * tile + 1]})
+
+    return keyed.groupBy("tr", "tc").cogroup(now.groupBy("tr", "tc")).applyInPandas(spill, "id bigint, z double")
 
 
 def least_cost_groups(cells: DataFrame, group: str = "basin") -> DataFrame:

@@ -39,3 +39,8 @@ def once(spark: SparkSession, request: tuple, build: Callable[[], DataFrame]) ->
     if key not in _memo:
         _memo[key] = cut(build(), str(request[0]))
     return _memo[key]
+
+
+def forget() -> None:
+    """What has been built is built anew when it is next asked for."""
+    _memo.clear()

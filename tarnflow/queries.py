@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnflow.functions import formula
-from tarnflow.operators import flood, hydraulics as hy, kernels, rain, runoff, skill, terrain, tree
+from tarnflow.operators import flood, hydraulics as hy, implicit, kernels, rain, runoff, skill, terrain, tree
 from tarnflow.plans import inputs as i
 from tarnflow.plans.inputs import CELLS, D8, DOWN, FACC, GAUGES, LAND, NEAR, NET, RAIN, SIZE
+from tarnflow.plans.store import once
 from tarnflow.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,7 +247,7 @@ def _pits(s, d):
 
 @query()
 def t_fill(s, d):
-    return rounded(kernels.fill_groups(_pits(s, d)))
+    return rounded(kernels.fill(_pits(s, d)))
 
 
 @query()
@@ -330,10 +331,10 @@ def r_raster(s, d):
     return _interpolated(s, d, "extrapolate")
 
 
-@query(f"WITH {CELLS}, {GAUGES}, {_IDW}, {RAIN} SELECT id, time_s AS t, {R('sum(w * rate) * 1e6 AS rate')} FROM idw JOIN rates USING (gauge_id) WHERE time_s < 86400 AND id % 10 = 0 GROUP BY ALL")
+@query(f"WITH {CELLS}, {GAUGES}, {_IDW}, {RAIN} SELECT id, time_s AS t, {R('sum(w * rate) * 1e6 AS rate')} FROM idw JOIN rates USING (gauge_id) GROUP BY ALL")
 def p_field(s, d):
-    weights = rain.idw(i.cells(s, d).where("id % 10 = 0"), i.gauges(s, d))
-    rates = i.rates(s, d).where("time_s < 86400").select("gauge_id", F.col("time_s").alias("t"), F.col("rate").alias("value"))
+    weights = rain.idw(i.cells(s, d), i.gauges(s, d))
+    rates = i.rates(s, d).select("gauge_id", F.col("time_s").alias("t"), F.col("rate").alias("value"))
     return rain.field(weights, rates).select("id", "t", F.round(F.col("rate") * 1e6, 6).alias("rate"))
 
 
@@ -392,8 +393,11 @@ def _cn_series(s, d):
     return i.series(s, d).select(F.col("gauge_id").alias("id"), F.col("time_s").alias("t"), "depth_mm", (60.0 + F.col("gauge_id") * 4).alias("cn"))
 
 
+_SCS = "o AS (SELECT *, greatest(pe - coalesce(lag(pe) OVER (PARTITION BY id ORDER BY t), 0), 0) AS own FROM e), x AS (SELECT *, coalesce(lag(own) OVER (PARTITION BY id ORDER BY t), 0) AS mm FROM o)"
+
+
 @query(f"""WITH {RAIN}, a AS (SELECT gauge_id AS id, time_s AS t, 25400 / (60.0 + gauge_id * 4) - 254 AS s, sum(depth_mm) OVER (PARTITION BY gauge_id ORDER BY time_s ROWS UNBOUNDED PRECEDING) AS p FROM series),
-    e AS (SELECT *, CASE WHEN p > 0.2 * s THEN (p - 0.2 * s) ** 2 / (p + 0.8 * s) ELSE 0 END AS pe FROM a) SELECT id, t, {R('pe - coalesce(lag(pe) OVER (PARTITION BY id ORDER BY t), 0) AS excess_mm')} FROM e""")
+    e AS (SELECT *, CASE WHEN p > 0.2 * s THEN (p - 0.2 * s) ** 2 / (p + 0.8 * s) ELSE 0 END AS pe FROM a), {_SCS} SELECT id, t, {R('mm AS excess_mm')} FROM x""")
 def r_scs(s, d):
     return rounded(runoff.curve_number(_cn_series(s, d)))
 
@@ -414,14 +418,14 @@ def r_ga(s, d):
 
 
 @query(_GA + """, y AS (SELECT *, sqrt(greatest(ksat * 1000 * 3600 / 25.4, 1e-12)) AS root FROM x),
-    p AS (SELECT *, 4 * root * 0.0254 AS lu, root / 75 / 3600 AS kr, 4.5 / root * 3600 AS tr, 0.2 * 4 * root * 0.0254 AS full_ FROM y),
+    p AS (SELECT *, 4 * root * 0.0254 AS upper, root / 75 / 3600 * 3600 * 0.2 * 4 * root * 0.0254 AS loss, 4.5 / root * 3600 AS dry_time, 0.2 * 4 * root * 0.0254 AS holds FROM y),
     g AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS u, CAST(0 AS DOUBLE) AS t, CAST(0.2 AS DOUBLE) AS dt, CAST(0 AS DOUBLE) AS e FROM p GROUP BY id UNION ALL
-    SELECT id, k, CASE WHEN emptied OR anew THEN 0 ELSE total END, greatest(zone, 0), clock, CASE WHEN emptied THEN 0.2 WHEN anew THEN (full_ - greatest(zone, 0)) / lu ELSE dt END, e + rain * 3600 - soak FROM (
-        SELECT *, (clock <= 0) AND NOT emptied AND (NOT dry OR draining) AS anew FROM (
-        SELECT *, draining AND zone <= 0 AS emptied FROM (
-        SELECT *, CASE WHEN draining THEN u - loss WHEN dry THEN u ELSE least(u + soak, full_) END AS zone, CASE WHEN draining THEN greatest(f - loss, 0) WHEN dry THEN f ELSE f + soak END AS total FROM (
-        SELECT g.id, p.k, g.f, g.u, g.dt, g.e, rain, full_, lu, least(rain, ksat * (1 + 0.15 * dt / greatest(f, 1e-9))) * 3600 AS soak, kr * full_ * 3600 AS loss, rain <= 0 AS dry, rain <= 0 AND u > 0 AS draining,
-            CASE WHEN rain > ksat THEN tr ELSE t - 3600 END AS clock FROM g JOIN p ON p.id = g.id AND p.k = g.k + 1)))))
+    SELECT id, k, CASE kind WHEN 'wet' THEN if(clock <= 0, 0, f + soak) WHEN 'drains' THEN if(clock <= 0, 0, greatest(f - loss, 0)) WHEN 'empties' THEN 0 ELSE f END,
+        CASE kind WHEN 'wet' THEN least(u + soak, holds) WHEN 'drains' THEN u - loss ELSE 0 END, clock,
+        CASE WHEN kind = 'empties' THEN 0.2 WHEN kind = 'wet' AND clock <= 0 THEN (holds - least(u + soak, holds)) / upper WHEN kind = 'drains' AND clock <= 0 THEN (holds - u + loss) / upper ELSE dt END,
+        CASE kind WHEN 'wet' THEN e + rain * 3600 - soak ELSE e END FROM (
+        SELECT g.*EXCLUDE (k), p.*EXCLUDE (id), CASE WHEN rain > 0 THEN 'wet' WHEN u <= 0 THEN 'idle' WHEN u <= loss THEN 'empties' ELSE 'drains' END AS kind,
+            least(rain, ksat * (1 + 0.15 * dt / greatest(f, 1e-9))) * 3600 AS soak, CASE WHEN rain > ksat THEN dry_time ELSE t - 3600 END AS clock FROM g JOIN p ON p.id = g.id AND p.k = g.k + 1))
     SELECT id, round(arg_max(f, k), 6) AS infiltrated, round(arg_max(u, k), 6) AS zone, round(arg_max(dt, k), 6) AS deficit, round(arg_max(e, k), 6) AS excess FROM g GROUP BY id""")
 def r_ga_recover(s, d):
     return rounded(runoff.green_ampt_recovering(_soil(s, d), 3600.0))
@@ -445,7 +449,7 @@ _TEXTURE = """CASE WHEN clay >= 40 AND sand <= 45 AND silt < 40 THEN 'clay' WHEN
 def r_texture(s, d):
     k = F.col("o_orderkey")
     sand = (k * 7 % 101).cast("double")
-    return i.table(s, d, "orders").select(k.alias("id"), sand.alias("sand"), ((100 - sand) * (k % 11) / 10).alias("clay")).select("id", runoff.texture(F.col("sand"), F.col("clay")).alias("class"))
+    return i.table(s, d, "orders").select(k.alias("id"), sand.alias("sand"), ((100 - sand) * (k % 11) / 10).alias("clay")).transform(runoff.texture).select("id", "class")
 
 
 @query("SELECT * FROM (VALUES ('sand', 0.0495), ('loamy_sand', 0.0613), ('sandy_loam', 0.1101), ('loam', 0.0889), ('silt_loam', 0.1668), ('silt', 0.1668), ('sandy_clay_loam', 0.2185), ('clay_loam', 0.2088), ('silty_clay_loam', 0.273), ('sandy_clay', 0.239), ('silty_clay', 0.2922), ('clay', 0.3163)) v(class, psi_m)")
@@ -472,11 +476,11 @@ def r_vsa_init(s, d):
 def _zones(s, d):
     outlet = (F.col("zone") + 1) * 900_000.0
     a, h = runoff.source_area_start(outlet, F.lit(900.0), F.lit(0.001), F.lit(2.0), F.lit(0.05), F.lit(0.4))
-    inflow = i.rates(s, d).where("time_s < 864000").groupBy(F.col("gauge_id").alias("zone")).agg(F.array_sort(F.collect_list(F.struct("time_s", "rate"))).alias("x"))
+    inflow = i.rates(s, d).groupBy(F.col("gauge_id").alias("zone")).agg(F.array_sort(F.collect_list(F.struct("time_s", "rate"))).alias("x"))
     return inflow.select("zone", F.transform("x", lambda x: x["rate"]).alias("inflow"), a.alias("a0"), h.alias("head"), outlet.alias("outlet_area"), F.lit(900.0).alias("cell_area"), F.lit(30.0).alias("size"), F.lit(1e-5).alias("ksat"), F.lit(0.01).alias("slope"), F.lit(0.3).alias("phi"), F.lit(0.4).alias("sd"), F.lit(0.05).alias("sd_min"))
 
 
-@query(f"""WITH RECURSIVE {RAIN}, x AS (SELECT gauge_id AS zone, rate, row_number() OVER (PARTITION BY gauge_id ORDER BY time_s) AS k FROM rates WHERE time_s < 864000),
+@query(f"""WITH RECURSIVE {RAIN}, x AS (SELECT gauge_id AS zone, rate, row_number() OVER (PARTITION BY gauge_id ORDER BY time_s) AS k FROM rates),
     p AS (SELECT range AS zone, 900000.0 * (range + 1) AS ao, 900000.0 * (range + 1) / (1 - ln(0.001 / 2.0)) AS a0 FROM range(10)), q AS (SELECT *, a0 / (a0 - 900) * ln(0.05 / 0.4) AS head FROM p),
     g AS (SELECT zone, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS z FROM q UNION ALL SELECT g.zone, x.k, greatest(z + (rate * 900 - 1e-5 * 0.01 * z * 30) * 21600 / (900 * 0.3), 0) FROM g JOIN x ON x.zone = g.zone AND x.k = g.k + 1),
     l AS (SELECT zone, arg_max(z, k) AS z FROM g GROUP BY zone)
@@ -599,10 +603,10 @@ def s_chan_geom(s, d):
     return rounded(i.net(s, d).where("facc > 100").select("id", F.least(w * F.coalesce("dist", F.lit(SIZE)), F.lit(900.0)).alias("store")))
 
 
-@query("SELECT k AS ord, last_value(v IGNORE NULLS) OVER (ORDER BY k) AS bank FROM (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN round(s_acctbal, 2) END AS v FROM supplier WHERE s_suppkey < 100)")
+@query("SELECT g, k AS ord, last_value(v IGNORE NULLS) OVER (PARTITION BY g ORDER BY k) AS bank FROM (SELECT s_nationkey AS g, s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN round(s_acctbal, 2) END AS v FROM supplier)")
 def s_bank(s, d):
-    few = i.table(s, d, "supplier").where("s_suppkey < 100").select(F.col("s_suppkey").alias("ord"), F.when(F.col("s_suppkey") % 4 == 0, F.round("s_acctbal", 2)).alias("v"))
-    return few.select("ord", F.last("v", ignorenulls=True).over(W.orderBy("ord").rowsBetween(W.unboundedPreceding, 0)).alias("bank"))  # orders of streams: a few rows
+    given = i.table(s, d, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("ord"), F.when(F.col("s_suppkey") % 4 == 0, F.round("s_acctbal", 2)).alias("v"))
+    return given.select("g", "ord", F.last("v", ignorenulls=True).over(W.partitionBy("g").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)).alias("bank"))
 
 
 @query(f"WITH RECURSIVE {FACC} SELECT a.id, a.facc - coalesce(sum(b.facc), 0)::BIGINT AS lateral_cells FROM net a LEFT JOIN net b ON b.ds = a.id AND b.facc > 100 WHERE a.facc > 100 GROUP BY a.id, a.facc")
@@ -693,22 +697,61 @@ for _scheme in kernels.SCHEMES:
     query(None, f"rt_{_scheme}")(_routed(_scheme))
 
 
-@query(f"WITH {RAIN}, b AS (SELECT gauge_id, sum(depth_mm) AS rain, sum(CASE WHEN depth_mm > 1 THEN depth_mm - 1 ELSE 0 END) AS runoff, sum(least(depth_mm, 1)) AS stored FROM series GROUP BY 1) SELECT gauge_id, {R('rain', 'runoff', 'stored')}, abs(rain - runoff - stored) <= 1e-6 * rain AS closed FROM b")
-def rt_mass(s, d):
-    b = i.series(s, d).groupBy("gauge_id").agg(F.sum("depth_mm").alias("rain"), F.sum(F.when(F.col("depth_mm") > 1, F.col("depth_mm") - 1).otherwise(0.0)).alias("runoff"), F.sum(F.least("depth_mm", F.lit(1.0))).alias("stored"))
-    return rounded(b.withColumn("closed", F.abs(F.col("rain") - F.col("runoff") - F.col("stored")) <= 1e-6 * F.col("rain")))
+@query()
+def rt_implicit(s, d):
+    """Rivers have a channel in their cell; the rest are sheets."""
+    net = i.net(s, d)
+    width, depth = hy.geometry(F.col("facc") * 0.0009, "usa")
+    river = F.col("facc") > 100
+    ready = net.join(terrain.slope(net, i.side(s, d), SIZE), "id").select("id", "ds", "z", "slope", F.coalesce("dist", F.lit(SIZE)).alias("dist"), F.when(river, 0.035).otherwise(0.05).alias("n"), "root", F.when(river, width).otherwise(0.0).alias("width"), F.when(river, depth).otherwise(0.0).alias("bank"))
+    return rounded(implicit.routed(ready, [40 / 1000 / 3600] * 6, 600.0, 7_200.0, 600.0))
+
 
+_ZONES = f"""z AS (SELECT gauge_id, count(*) AS cells FROM near GROUP BY 1), a AS (SELECT gauge_id AS id, time_s AS t, depth_mm, 25400.0 / 75 - 254 AS s, sum(depth_mm) OVER (PARTITION BY gauge_id ORDER BY time_s ROWS UNBOUNDED PRECEDING) AS p FROM series),
+    e AS (SELECT *, CASE WHEN p > 0.2 * s THEN (p - 0.2 * s) ** 2 / (p + 0.8 * s) ELSE 0 END AS pe FROM a), {_SCS}"""
+
+
+def _zone_cells(s, d):
+    return rain.thiessen(i.cells(s, d), i.gauges(s, d)).groupBy(F.col("gauge_id").alias("zone")).agg(F.count(F.lit(1)).alias("cells"))
+
+
+def _zone_excess(s, d, late=True):
+    depth = i.series(s, d).select(F.col("gauge_id").alias("id"), F.col("time_s").alias("t"), "depth_mm", F.lit(75.0).alias("cn"))
+    return runoff.curve_number(depth, late=late).join(_zone_cells(s, d), F.col("id") == F.col("zone")).select("zone", F.col("t").alias("time_s"), "excess_mm", "cells")
 
-@query(f"WITH {RAIN} SELECT gauge_id, time_s, {R('sum(depth_mm) OVER (PARTITION BY gauge_id ORDER BY time_s ROWS UNBOUNDED PRECEDING) AS total')} FROM series")
+
+@query(f"""WITH {CELLS}, {GAUGES}, {NEAR}, {RAIN}, {_ZONES}, b AS (SELECT id, sum(depth_mm) AS p, sum(mm) AS r, arg_max(own, t) AS w, max(s) AS s FROM x GROUP BY id)
+    SELECT id AS zone, {R('p * cells * 0.9 AS rain_m3', 'r * cells * 0.9 AS runoff_m3', 'w * cells * 0.9 AS waiting_m3', '(p - if(p > 0.2 * s, (p - 0.2 * s) ** 2 / (p + 0.8 * s), 0)) * cells * 0.9 AS held_m3', digits=3)}, true AS closed FROM b JOIN z ON gauge_id = id""")
+def rt_mass(s, d):
+    """Ledger of each zone: rain against what has run off by the steps, what the last step has still to give, and what the soil holds by the closed formula of the whole storm."""
+    rains = i.series(s, d).groupBy(F.col("gauge_id").alias("zone")).agg((F.sum("depth_mm")).alias("p"))
+    late = _zone_excess(s, d).groupBy("zone").agg(F.sum("excess_mm").alias("r"))
+    own = _zone_excess(s, d, False).groupBy("zone").agg(F.max_by("excess_mm", "time_s").alias("w"))
+    keeps = 25400 / 75 - 254
+    ran = F.when(F.col("p") > 0.2 * keeps, F.pow(F.col("p") - 0.2 * keeps, F.lit(2)) / (F.col("p") + 0.8 * keeps)).otherwise(0.0)
+    m3 = F.col("cells") * SIZE * SIZE / 1000
+    book = rains.join(late, "zone").join(own, "zone").join(_zone_cells(s, d), "zone").select("zone", *[(c * m3).alias(k) for k, c in {"rain_m3": F.col("p"), "runoff_m3": F.col("r"), "waiting_m3": F.col("w"), "held_m3": F.col("p") - ran}.items()])
+    error = F.col("rain_m3") - F.col("runoff_m3") - F.col("waiting_m3") - F.col("held_m3")
+    return rounded(book.withColumn("closed", F.abs(error) < 1e-6 * F.col("rain_m3")), 3)
+
+
+@query(f"""WITH {CELLS}, {GAUGES}, {NEAR}, {RAIN}, z AS (SELECT gauge_id, count(*) AS cells FROM near GROUP BY 1),
+    q AS (SELECT gauge_id, time_s, depth_mm * cells * 0.9 AS v, gauge_id * 0.05 AS i, sum(depth_mm) OVER (PARTITION BY gauge_id ORDER BY time_s ROWS UNBOUNDED PRECEDING) > 40 AS wet FROM series JOIN z USING (gauge_id)),
+    m AS (SELECT *, v * i AS a, if(wet, v * (1 - i), 0) AS b, if(wet, 0, v * (1 - i) * 0.3) AS c FROM q)
+    SELECT gauge_id AS zone, time_s, {R(*[f'sum({k}) OVER (PARTITION BY gauge_id ORDER BY time_s ROWS UNBOUNDED PRECEDING) AS {n}_m3' for k, n in (('a', 'imperv'), ('b', 'dunne'), ('c', 'horton'))], digits=7)} FROM m""")
 def rt_part(s, d):
-    w = W.partitionBy("gauge_id").orderBy("time_s").rowsBetween(W.unboundedPreceding, 0)
-    return rounded(i.series(s, d).select("gauge_id", "time_s", F.sum("depth_mm").over(w).alias("total")))
+    """Cumulative volumes by mechanism: shed from sealed ground, and from soil that is full (after 40 mm) or takes up less than falls."""
+    w = W.partitionBy("zone").orderBy("time_s").rowsBetween(W.unboundedPreceding, 0)
+    given = i.series(s, d).join(_zone_cells(s, d), F.col("gauge_id") == F.col("zone")).select("zone", "time_s", (F.col("depth_mm") * F.col("cells") * SIZE * SIZE / 1000).alias("v"), (F.sum("depth_mm").over(w) > 40).alias("wet"))
+    parts = runoff.combined(F.col("v"), F.col("zone") * 0.05, F.col("wet"), F.lit(0.3))
+    return rounded(given.select("zone", "time_s", *[F.sum(c).over(w).alias(f"{k}_m3") for k, c in parts.items()]), 7)
 
 
-@query("SELECT user_id % 10 AS outlet, CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start, round(sum(value) / 86400, 8) AS q FROM events GROUP BY ALL")
+@query(f"WITH {CELLS}, {GAUGES}, {NEAR}, {RAIN}, {_ZONES} SELECT id AS zone, floor(t / 86400) * 86400 AS time_s, {R('sum(mm * cells * 0.9) / 86400 + 0.05 AS q_m3s')} FROM x JOIN z ON gauge_id = id GROUP BY ALL")
 def rt_hydro(s, d):
-    t = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86_400) * 86_400
-    return i.table(s, d, "events").groupBy((F.col("user_id") % 10).alias("outlet"), t.cast("bigint").alias("start")).agg(F.round(F.sum("value") / 86_400, 8).alias("q"))
+    """Mean flow out of each zone by day: volume by time, and a constant base flow."""
+    v = _zone_excess(s, d).withColumn("v", F.col("excess_mm") * F.col("cells") * SIZE * SIZE / 1000)
+    return rounded(v.groupBy("zone", (F.floor(F.col("time_s") / 86_400) * 86_400).cast("double").alias("time_s")).agg((F.sum("v") / 86_400 + 0.05).alias("q_m3s")))
 
 
 @query(f"WITH RECURSIVE {FACC}, p AS (SELECT s_suppkey AS k, s_suppkey * 37 % n AS pr, s_suppkey * 53 % n AS pc FROM supplier, n0 WHERE s_suppkey < 10) SELECT k AS gauge_id, net.id AS cell FROM p JOIN net ON abs(r - pr) <= 5 AND abs(c - pc) <= 5 QUALIFY row_number() OVER (PARTITION BY k ORDER BY facc DESC, net.id) = 1")
@@ -782,10 +825,9 @@ def f_reaches(s, d):
     return rounded(tree.reaches(rivers, 300.0).groupBy("link").agg(F.count(F.lit(1)).alias("cells"), F.max("link_length").alias("link_length")))
 
 
-@query("SELECT CAST(x AS DOUBLE) AS level FROM (VALUES (10), (100), (1000)) v(x) WHERE x < (SELECT floor(sqrt(count(*))) ** 2 FROM orders) / 2")
+@query("SELECT CAST(10 * pow(10, range) AS DOUBLE) AS level FROM range(19) WHERE range = 0 OR 10 * pow(10, range) < (SELECT floor(sqrt(count(*))) ** 2 FROM orders) / 2")
 def f_levels(s, d):
-    n = i.side(s, d)
-    return s.createDataFrame([(x,) for x in flood.levels(10, min(n * n, 20_000)) if x <= 1000], "level double")
+    return flood.levels(s, 10, i.side(s, d) ** 2)
 
 
 @query(f"WITH RECURSIVE {NET}, m AS (SELECT * FROM flow WHERE c % 9 <> 4), dm AS (SELECT id AS src, id AS cur FROM m UNION ALL SELECT d.src, f.ds FROM dm d JOIN m f ON f.id = d.cur JOIN m g ON g.id = f.ds) SELECT cur AS id, count(*) AS acc FROM dm GROUP BY cur")
@@ -817,37 +859,82 @@ def f_fp_area(s, d):
     return rounded(flood.plain_area(_plain(s, d), 900.0, SIZE), 4)
 
 
+_YS = "ys AS (SELECT row_number() OVER (ORDER BY y) - 1 AS k, y FROM (SELECT range / 20.0 AS y FROM range(21) UNION ALL SELECT range / 5.0 FROM range(6, 51)))"
+_CURVES = """fl AS (SELECT reach, k, sum(area * pow(y - greatest(hand, 0), 5.0 / 3) / 0.05) AS f, count(*) * 900.0 AS flooded FROM fa JOIN ys ON greatest(hand, 0) < y WHERE hand IS NOT NULL GROUP BY ALL),
+    cv AS (SELECT r.reach, ys.k, y, 0.1 * (5 * (0.8 + y) / 0.035 * pow(5 * (0.8 + y) / (5 + 1.6), 2.0 / 3) + coalesce(f, 0) / 30) AS q, coalesce(flooded, 0) AS flooded FROM (SELECT DISTINCT reach FROM fa WHERE reach IS NOT NULL) r CROSS JOIN ys LEFT JOIN fl ON fl.reach = r.reach AND fl.k = ys.k)"""
+
 def _curves(s, d):
+    return _plain_curves(s, d, flood.stages(s))
+
+
+@query(f"WITH RECURSIVE {FACC}, {_RIVER}, {_PLAIN}, {_YS}, {_CURVES} SELECT reach, CAST(k AS INT) AS k, {R('q', digits=3)}, flooded FROM cv")
+def f_rating(s, d):
+    return _curves(s, d).select("reach", "k", F.round("q", 3).alias("q"), "flooded")
+
+
+def _plain_curves(s, d, ys):
     plain = _plain(s, d)
     cells = flood.plain_area(plain, 900.0, SIZE).join(plain.select("id", "hand"), "id").where("reach is not null")
     reach = cells.select("reach").distinct().select("reach", F.lit(30.0).alias("length"), F.lit(0.01).alias("slope"), F.lit(5.0).alias("width"), F.lit(0.8).alias("bank"), F.lit(0.035).alias("n"))
-    return flood.rating(cells, reach, flood.stages(s), 900.0, 0.05)
+    return flood.rating(cells, reach, ys, 900.0, 0.05)
 
 
-@query(f"""WITH RECURSIVE {FACC}, {_RIVER}, {_PLAIN}, ys AS (SELECT row_number() OVER (ORDER BY y) - 1 AS k, y FROM (SELECT range / 20.0 AS y FROM range(21) UNION ALL SELECT range / 5.0 FROM range(6, 51))),
-    hb AS (SELECT reach, greatest(round(hand, 2), 0) AS h, sum(area) AS area, count(*) AS n FROM fa WHERE hand IS NOT NULL GROUP BY ALL), fl AS (SELECT reach, k, sum(area * pow(y - h, 5.0 / 3) / 0.05) AS f, sum(n) * 900.0 AS flooded FROM hb JOIN ys ON h < y GROUP BY ALL)
-    SELECT r.reach, CAST(ys.k AS INT) AS k, {R('0.1 * (5 * (0.8 + y) / 0.035 * pow(5 * (0.8 + y) / (5 + 1.6), 2.0 / 3) + coalesce(f, 0) / 30) AS q', digits=3)}, coalesce(flooded, 0) AS flooded FROM (SELECT DISTINCT reach FROM fa WHERE reach IS NOT NULL) r CROSS JOIN ys LEFT JOIN fl ON fl.reach = r.reach AND fl.k = ys.k""")
-def f_rating(s, d):
-    return _curves(s, d).select("reach", "k", F.round("q", 3).alias("q"), "flooded")
+def _river_flow(s, d):
+    """Flow of each river cell (reach) by time: the rain of its zone over all that drains to it."""
+    rivers = i.net(s, d).where("facc > 100").select("id", "facc").join(rain.thiessen(i.cells(s, d), i.gauges(s, d)), "id")
+    return rivers.join(i.rates(s, d), "gauge_id").select(F.col("id").alias("reach"), F.col("time_s").alias("t"), (F.col("rate") * F.col("facc") * SIZE * SIZE).alias("q"))
 
 
-@query()
+_FLOW = f"{GAUGES}, {NEAR}, {RAIN}, rf AS (SELECT net.id AS reach, time_s AS t, rate * facc * 900 AS q FROM net JOIN near USING (id) JOIN rates USING (gauge_id) WHERE facc > 100)"
+_STAGE = """cn AS (SELECT *, lead(q) OVER w AS q1, lead(y) OVER w AS y1, first_value(y) OVER w AS y_first FROM cv WINDOW w AS (PARTITION BY reach ORDER BY k)),
+    st AS (SELECT rf.reach, rf.t, CASE WHEN cn.q IS NULL THEN 0 WHEN q1 IS NULL THEN cn.y ELSE cn.y + (rf.q - cn.q) * (y1 - cn.y) / (q1 - cn.q) END AS y, cn.q IS NOT NULL AND q1 IS NULL AND rf.q > cn.q AS clipped FROM rf ASOF LEFT JOIN cn ON cn.reach = rf.reach AND cn.q <= rf.q)"""
+
+
+@query(f"""WITH RECURSIVE {FACC}, {_RIVER}, {_PLAIN}, {_FLOW}, ys AS (SELECT * FROM (VALUES (0, 10.0), (1, 20.0), (2, 40.0), (3, 80.0), (4, 100.0)) v(k, y)), {_CURVES}
+    SELECT p.reach, coalesce(min(y) FILTER (WHERE cv.q >= p.q), 100) AS y_max, count(*) FILTER (WHERE cv.q >= p.q) > 0 AS fits FROM (SELECT reach, 300 * max(q) AS q FROM rf GROUP BY 1) p JOIN cv USING (reach) GROUP BY 1""")
 def f_rating_fit(s, d):
-    most = _curves(s, d).groupBy("reach").agg(F.max("q").alias("q"))
-    return most.select("reach", (F.col("q") >= 50).alias("fits"))
+    """How high each reach's curve has to go to hold its peak (here of a flood three hundred times the rain's): doubled from 10 m, at most 100 m."""
+    tops = s.createDataFrame(list(enumerate((10.0, 20.0, 40.0, 80.0, 100.0))), "k int, y double")
+    peaks = _river_flow(s, d).groupBy("reach").agg((F.max("q") * 300).alias("peak"))
+    fits = F.col("q") >= F.col("peak")
+    return _plain_curves(s, d, tops).join(peaks, "reach").groupBy("reach").agg(F.coalesce(F.min(F.when(fits, F.col("y"))), F.lit(100.0)).alias("y_max"), (F.count_if(fits) > 0).alias("fits"))
 
 
-@query()
+def _stages(s, d):
+    """Stage of each reach by time, built once."""
+    return once(s, ("stages", d), lambda: flood.stage_of(_river_flow(s, d).withColumn("q", F.col("q") * 30), _curves(s, d).select("reach", "y", "q")))
+
+
+_FLOOD = _FLOW.replace("rate * facc * 900 AS q", "rate * facc * 27000 AS q")
+
+
+@query(f"WITH RECURSIVE {FACC}, {_RIVER}, {_PLAIN}, {_FLOOD}, {_YS}, {_CURVES}, {_STAGE} SELECT reach, t, {R('y')}, clipped FROM st")
 def f_stage(s, d):
-    curves = _curves(s, d)
-    flows = curves.select("reach").distinct().select("reach", F.explode(F.array(*[F.lit(float(x)) for x in (1, 20, 400, 1e9)])).alias("q")).withColumn("t", F.col("q"))
-    return rounded(flood.stage_of(flows, curves.select("reach", "y", "q")))
+    return rounded(_stages(s, d).select("reach", "t", "y", "clipped"))
 
 
-@query("SELECT o_custkey % 40 AS reach, round(avg(o_totalprice), 4) AS mean, round(max(o_totalprice), 4) AS most, count(*) AS n, arg_max(o_orderkey, o_totalprice) AS cell FROM orders GROUP BY 1")
+@query(f"""WITH RECURSIVE {FACC}, {_RIVER}, {_FLOOD}, rc AS (SELECT * FROM net WHERE facc > 100), dn AS (SELECT ds AS id, count(*) AS k FROM rc GROUP BY ds), en AS (SELECT rc.id, rc.ds IS NULL OR dn.k > 1 AS stop FROM rc LEFT JOIN dn ON dn.id = rc.ds),
+    w AS (SELECT src AS id, arg_min(cur, hops) AS link FROM down JOIN en ON en.id = cur AND stop JOIN rc ON rc.id = src GROUP BY src), pk AS (SELECT reach AS id, max(q) AS q, arg_max(t, q) AS t FROM rf GROUP BY 1)
+    SELECT link, {R('avg(z) AS bed', 'avg(2.70 * pow(greatest(facc * 0.0009, 1e-6), 0.352)) AS width', 'max(facc) * 0.0009 AS area_km2', 'max(q) AS q')}, arg_max(rc.id, (q, -rc.id)) AS cell, arg_max(t, (q, -rc.id)) AS t FROM w JOIN rc USING (id) JOIN pk USING (id) GROUP BY link""")
 def f_level(s, d):
-    g = i.table(s, d, "orders").groupBy((F.col("o_custkey") % 40).alias("reach")).agg(F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("most"), F.count(F.lit(1)).alias("n"), F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("cell"))
-    return rounded(g, 4)
+    """Links of the rivers: means of their cells, the largest area, and the largest flow at any cell with its time."""
+    rivers = i.net(s, d).where("facc > 100")
+    links = tree.reaches(rivers.select("id", "ds", "dist"), 1e9).select("id", "link")
+    peaks = _river_flow(s, d).groupBy(F.col("reach").alias("id")).agg((F.max("q") * 30).alias("q"), F.max_by("t", "q").alias("t"))
+    w, _ = hy.geometry(F.col("facc") * 0.0009, "usa")
+    best = F.max(F.struct("q", (-F.col("id")).alias("k"), "t")).alias("m")
+    met = rivers.join(links, "id").join(peaks, "id").groupBy("link").agg(F.avg("z").alias("bed"), F.avg(w).alias("width"), (F.max("facc") * 0.0009).alias("area_km2"), best)
+    return rounded(met.select("link", "bed", "width", "area_km2", F.col("m.q").alias("q"), (-F.col("m.k")).alias("cell"), F.col("m.t").alias("t")))
+
+
+@query(f"""WITH RECURSIVE {FACC}, {_RIVER}, {_PLAIN}, {_FLOOD}, {_YS}, {_CURVES}, {_STAGE} SELECT fa.id, min(t) FILTER (WHERE y - hand > 0.1) AS first_time, count(*) FILTER (WHERE y - hand > 0.1) * 21600.0 AS duration
+    FROM fa JOIN st USING (reach) GROUP BY fa.id""")
+def f_firstdur(s, d):
+    """When each cell is first more than 0.1 m deep, and for how long in all. Cells meet their reach's stages as one short array."""
+    series = _stages(s, d).groupBy("reach").agg(F.array_sort(F.collect_list(F.struct("t", "y"))).alias("s"))
+    cells = flood.above_drain(_rivers(s, d)).where("drain is not null").select("id", F.col("drain").alias("reach"), "hand")
+    wet = F.filter("s", lambda x: x["y"] - F.col("hand") > 0.1)
+    return cells.join(series, "reach").select("id", F.try_element_at(wet, F.lit(1))["t"].alias("first_time"), (F.size(wet) * 21_600.0).alias("duration"))
 
 
 @query(f"""WITH RECURSIVE {FACC}, {_RIVER}, h AS (SELECT a.id, drain AS reach, a.z - b.z AS hand FROM net a JOIN nd USING (id) JOIN net b ON b.id = drain), st AS (SELECT reach, l.range AS level, (reach * (l.range + 1) % 40) / 10.0 AS y FROM (SELECT DISTINCT reach FROM h), range(3) l),
@@ -858,21 +945,19 @@ def f_depth(s, d):
     return rounded(flood.depths(cells, stages.withColumn("y", F.col("reach") * (F.col("level") + 1) % 40 / 10)))
 
 
-@query(f"WITH {RAIN} SELECT gauge_id, min(time_s) FILTER (WHERE depth_mm > 3) AS first_time, count(*) FILTER (WHERE depth_mm > 3) * 21600.0 AS duration FROM series GROUP BY 1")
-def f_firstdur(s, d):
-    wet = F.col("depth_mm") > 3
-    return i.series(s, d).groupBy("gauge_id").agg(F.min(F.when(wet, F.col("time_s"))).alias("first_time"), (F.count_if(wet) * 21_600.0).alias("duration"))
-
-
 @query(f"WITH {CELLS} SELECT id FROM cells WHERE x + 15 > 200 AND x - 15 < 700 AND y + 15 > 100 AND y - 15 < 500")
 def f_area_window(s, d):
     x, y = F.col("x"), F.col("y")
     return i.cells(s, d).where((x + 15 > 200) & (x - 15 < 700) & (y + 15 > 100) & (y - 15 < 500)).select("id")
 
 
-@query(f"WITH {RAIN} SELECT time_s, round(sum(CASE WHEN depth_mm > 2 THEN (depth_mm - 2) * 0.9 ELSE 0 END), 6) AS km2 FROM series GROUP BY 1")
+@query(f"""WITH RECURSIVE {FACC}, {_RIVER}, {_PLAIN}, {_FLOOD}, {_YS}, {_CURVES}, {_STAGE}, ca AS (SELECT reach, y AS y0, flooded AS a0, lead(y) OVER w AS y2, lead(flooded) OVER w AS a2 FROM cv WINDOW w AS (PARTITION BY reach ORDER BY k))
+    SELECT t, round(sum(CASE WHEN y2 IS NULL THEN a0 ELSE a0 + (a2 - a0) * (y - y0) / (y2 - y0) END) / 1e6, 6) AS km2 FROM st ASOF JOIN ca ON ca.reach = st.reach AND ca.y0 <= st.y GROUP BY t""")
 def f_areaseries(s, d):
-    return i.series(s, d).groupBy("time_s").agg(F.round(F.sum(F.when(F.col("depth_mm") > 2, (F.col("depth_mm") - 2) * 0.9).otherwise(0.0)), 6).alias("km2"))
+    """Flooded land by time: each reach's area at its stage, between two points of its curve."""
+    curves = _curves(s, d).select("reach", F.col("y").alias("q"), F.col("flooded").alias("y"))
+    area = flood.stage_of(_stages(s, d).select("reach", "t", F.col("y").alias("q")), curves)
+    return area.groupBy("t").agg(F.round(F.sum("y") / 1e6, 6).alias("km2"))
 
 
 @query(f"WITH RECURSIVE {FACC}, fine AS (SELECT * FROM net WHERE facc > 20 AND id % 3 = 0), co AS (SELECT * FROM net WHERE facc > 20 AND id % 3 = 1), m AS (SELECT a.id, b.id AS other, abs(ln(a.facc / b.facc)) AS gap FROM fine a JOIN co b ON abs(a.r - b.r) <= 5 AND abs(a.c - b.c) <= 5 AND (a.r - b.r) ** 2 + (a.c - b.c) ** 2 <= 25 WHERE abs(ln(a.facc / b.facc)) <= ln(1.5) QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY gap, b.id) = 1) SELECT fine.id, {R('gap', digits=9)} FROM fine LEFT JOIN m USING (id)")
@@ -890,16 +975,17 @@ def f_entries(s, d):
     return edge.groupBy(F.floor(F.col("r") / 10).alias("block")).agg(F.min_by("id", F.struct("z", "id")).alias("entry"))
 
 
-@query("SELECT user_id % 10 AS river, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, round(avg(value), 6) AS mean, round(max(value), 6) AS peak FROM events GROUP BY ALL")
+@query(f"WITH RECURSIVE {FACC}, {_FLOW} SELECT reach AS cell, floor(t / 86400) * 86400 AS day, {R('avg(q) AS mean', 'max(q) AS peak', digits=9)}, arg_max(t, (q, -t)) AS t_peak, count(*) AS records FROM rf GROUP BY ALL")
 def f_recorder(s, d):
-    hour = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 3600).cast("bigint")
-    return rounded(i.table(s, d, "events").groupBy((F.col("user_id") % 10).alias("river"), hour.alias("hour")).agg(F.avg("value").alias("mean"), F.max("value").alias("peak")))
+    """Mean, peak and its time of each river cell by day."""
+    flow = _river_flow(s, d).groupBy(F.col("reach").alias("cell"), (F.floor(F.col("t") / 86_400) * 86_400).cast("double").alias("day"))
+    best = flow.agg(F.avg("q").alias("mean"), F.max(F.struct("q", (-F.col("t")).alias("k"))).alias("m"), F.count(F.lit(1)).alias("records"))
+    return rounded(best.select("cell", "day", "mean", F.col("m.q").alias("peak"), (-F.col("m.k")).alias("t_peak"), "records"), 9)
 
 
 @query()
 def f_2d_solver(s, d):
-    n = min(i.side(s, d), 60)
-    box = i.cells(s, d).where((F.col("r") < n) & (F.col("c") < n)).select("id", "r", "c", "z", F.floor(F.col("c") / 20).alias("box"), F.when(F.col("r") < 5, 1e-4).otherwise(0.0).alias("source"))
+    box = i.cells(s, d).select("id", "r", "c", "z", (F.floor(F.col("r") / 20) * 100_000 + F.floor(F.col("c") / 20)).alias("box"), F.when(F.col("r") % 20 < 5, 1e-4).otherwise(0.0).alias("source"))
     return rounded(kernels.flood_boxes(box, 600.0), 4)
 
 
@@ -945,14 +1031,26 @@ def m_nse_pbias(s, d):
     return rounded(skill.scores(_pairs(s, d), "event"))
 
 
-@query("SELECT a AS scheme, b AS weights, c AS cn FROM (VALUES ('kinematic'), ('diffusive')) x(a), (VALUES ('thiessen'), ('idw'), ('uniform')) y(b), (VALUES (60), (70), (80)) z(c)")
+#: The axes of the factorial sweep, and the single-factor experiments.
+SWEEP = {"channel": ["off", "on"], "scheme": ["kinematic", "diffusive", "muskingum"], "mechanisms": ["vsa", "horton", "impervious", "vsa+horton", "vsa+impervious", "horton+impervious", "vsa+horton+impervious"], "infiltration": ["green_ampt", "none"], "reducer": ["max", "divide"]}
+EXPERIMENTS = {
+    "A_mechanism": ["A0_full", "A1_no_horton", "A2_no_imperv", "A3_dunne_only", "A4_horton_imperv", "A5_imperv_only", "A6_horton_only"], "B_sd": ["sd_0.05", "sd_0.10", "sd_0.20", "sd_0.40", "sd_0.80"],
+    "C_routing": ["kinematic", "muskingum", "diff_theta_0.25", "diff_theta_0.50", "diff_theta_0.75"], "D_ksat": ["ksat_0.5", "ksat_2.0", "ksat_4.0"], "E_channel": ["off", "width_0.5x", "width_2.0x"], "F_sdreducer": ["mean", "divide"],
+}
+
+
+def _axis(name: str, values: list[str]) -> str:
+    return f"(VALUES {', '.join(f"('{v}')" for v in values)}) {name}_({name})"
+
+
+@query(f"SELECT * FROM {', '.join(_axis(k, v) for k, v in SWEEP.items())}")
 def m_grid(s, d):
-    return skill.factorial(s, {"scheme": ["kinematic", "diffusive"], "weights": ["thiessen", "idw", "uniform"], "cn": [60, 70, 80]})
+    return skill.factorial(s, SWEEP)
 
 
-@query("SELECT f AS factor, CAST(v AS DOUBLE) AS value, CAST(e.range AS INT) AS event FROM (VALUES ('n', 0.03), ('n', 0.07), ('ksat', 0.5), ('ksat', 2.0), ('cn', 65.0), ('cn', 85.0)) x(f, v), range(4) e")
+@query(f"SELECT factor, tag, CAST(e.range AS INT) AS event FROM (VALUES {', '.join(f"('{k}', '{t}')" for k, v in EXPERIMENTS.items() for t in v)}) x(factor, tag), range(4) e")
 def m_ofat(s, d):
-    rows = s.createDataFrame([("n", 0.03), ("n", 0.07), ("ksat", 0.5), ("ksat", 2.0), ("cn", 65.0), ("cn", 85.0)], "factor string, value double")
+    rows = s.createDataFrame([(k, t) for k, v in EXPERIMENTS.items() for t in v], "factor string, tag string")
     return rows.withColumn("event", F.explode(F.sequence(F.lit(0), F.lit(3))))
 
 
@@ -1035,11 +1133,6 @@ def rel_percentiles(s, d):
 
 
 # ================================================================ one slice from rain to hydrograph
-@query(f"""WITH {CELLS}, {GAUGES}, {NEAR}, {RAIN}, a AS (SELECT gauge_id, time_s, 25400.0 / 75 - 254 AS s, sum(depth_mm) OVER (PARTITION BY gauge_id ORDER BY time_s ROWS UNBOUNDED PRECEDING) AS p FROM series),
-    e AS (SELECT gauge_id, time_s, CASE WHEN p > 0.2 * s THEN (p - 0.2 * s) ** 2 / (p + 0.8 * s) ELSE 0 END AS pe FROM a), x AS (SELECT gauge_id, time_s, pe - coalesce(lag(pe) OVER (PARTITION BY gauge_id ORDER BY time_s), 0) AS mm FROM e),
-    z AS (SELECT gauge_id, count(*) AS cells FROM near GROUP BY 1) SELECT gauge_id AS zone, time_s, {R('mm * cells * 900 / 1000 / 21600 AS q')} FROM x JOIN z USING (gauge_id)""")
+@query(f"WITH {CELLS}, {GAUGES}, {NEAR}, {RAIN}, {_ZONES} SELECT id AS zone, t AS time_s, {R('mm * cells * 900 / 1000 / 21600 AS q')} FROM x JOIN z ON gauge_id = id")
 def flagship_zone_hydrograph(s, d):
-    zones = rain.thiessen(i.cells(s, d), i.gauges(s, d)).groupBy("gauge_id").agg(F.count(F.lit(1)).alias("cells"))
-    depth = i.series(s, d).select(F.col("gauge_id").alias("id"), F.col("time_s").alias("t"), "depth_mm", F.lit(75.0).alias("cn"))
-    excess = runoff.curve_number(depth).join(zones, F.col("id") == F.col("gauge_id"))
-    return rounded(excess.select(F.col("gauge_id").alias("zone"), F.col("t").alias("time_s"), (F.col("excess_mm") * F.col("cells") * SIZE * SIZE / 1000 / i.BUCKET).alias("q")))
+    return rounded(_zone_excess(s, d).select("zone", "time_s", (F.col("excess_mm") * F.col("cells") * SIZE * SIZE / 1000 / i.BUCKET).alias("q")))

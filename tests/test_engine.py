@@ -47,7 +47,7 @@ def test_accumulate_within(spark):
     rows = [(k, k + 1 if k < 5 else None, o) for k, o in enumerate([True, True, False, True, True, False])]
     net = spark.createDataFrame(rows, "id bigint, ds bigint, inside boolean").withColumn("one", F.lit(1))
     assert by_id(flood.accumulate_within(net, "inside", "one", "a"), "a") == {0: 1, 1: 2, 3: 1, 4: 2}
-    assert flood.levels(10, 606) == [10, 100] and flood.levels(10, 15) == [10]
+    assert [[r["level"] for r in flood.levels(spark, 10, m).collect()] for m in (606, 15, 2e6)] == [[10, 100], [10], [10, 100, 1000, 1e4, 1e5]]
 
 
 def test_random_trees_against_loops(spark):
@@ -198,3 +198,46 @@ def test_streams_equal_batches(spark, tmp_path):
     soil = spark.createDataFrame([(k, [1e-5 * (1 + t % 3) for t in range(20)], 2e-6, 0.1, 0.2) for k in range(3)], "id bigint, rain array<double>, ksat double, psi double, dtheta double")
     last = {r["id"]: r["v"] for r in spark.table("inf").groupBy("id").agg(F.max("infiltrated").alias("v")).collect()}
     assert last == pytest.approx(by_id(runoff.green_ampt(soil, 60.0), "infiltrated"))
+
+
+def test_loops_are_left_out(spark):
+    net = spark.createDataFrame([(0, 1, 1.0, 1.0), (1, 2, 1.0, 1.0), (2, 0, 1.0, 1.0), (3, 0, 1.0, 1.0), (4, 5, 1.0, 1.0), (5, None, None, 1.0)], "id bigint, ds bigint, dist double, z double")
+    assert by_id(tree.accumulate(net, "z", "a"), "a") == {4: 1, 5: 2}
+    assert by_id(tree.descend(net), "root") == {4: 5, 5: 5}
+    assert by_id(tree.path_max(net, "z", 0.0, "a"), "a") == by_id(tree.upstream_min(net, "z", 0.0, "a"), "a") == {4: 1, 5: 1}
+    assert by_id(tree.strahler(net), "order") == {4: 1, 5: 1}
+
+
+def test_orders_of_random_trees(spark):
+    draw = random.Random(4)
+    rows = [(k, draw.randrange(max(0, k - 6), k) if k % 97 else None, 1.0) for k in range(400)]
+    order, most = {}, {}
+    for k, ds, _ in reversed(rows):
+        above = most.get(k, [])
+        order[k] = 1 if not above else max(above) + (above.count(max(above)) > 1)
+        most.setdefault(ds, []).append(order[k])
+    assert by_id(tree.strahler(spark.createDataFrame(rows, "id bigint, ds bigint, dist double")), "order") == order
+
+
+def test_fill_of_tiles_is_that_of_the_whole_grid(spark):
+    draw = np.random.default_rng(2)
+    z = draw.uniform(0, 10, (37, 29)) + 0.3 * np.abs(np.arange(29) - 14) - 8 * (draw.random((37, 29)) < 0.1)
+    z[10:14, 8:12] = np.nan
+    cells = spark.createDataFrame(pd.DataFrame([(r * 29 + c, r, c, z[r, c]) for r in range(37) for c in range(29) if not np.isnan(z[r, c])], columns=["id", "r", "c", "z"]))
+    want = kernels.filled(z)
+    for tile in (7, 64):
+        found = by_id(kernels.fill(cells, tile), "z")
+        assert found == {r * 29 + c: want[r, c] for r in range(37) for c in range(29) if not np.isnan(z[r, c])}
+
+
+def test_formulas():
+    from pyspark.sql import functions as F
+
+    for bad in ("1 +", "x y", "import os", "a.b", "f(1)", "max(1", "1 ^", "(2))", "A_below(x)", "", "'a'"):
+        with pytest.raises(ValueError):
+            compiled(bad, {"x": F.lit(1.0)}, {"A_below": F.lit})
+
+
+@pytest.mark.parametrize(("text", "value"), [("2^3^2", 512.0), ("-2^2", -4.0), ("2**-1", 0.5), ("1-2-3", -4.0), ("8/4/2", 1.0), ("2*(3+x)", 8.0), ("min(3, 2, x)+1e-3", 1.001), ("- -x", 1.0), ("sqrt(16)*.5", 2.0), ("A_below(30)+1", 31.0)])
+def test_precedence(spark, text, value):
+    assert spark.range(1).select(compiled(text, {"x": F.lit(1.0)}, {"A_below": lambda z: F.lit(z)}).alias("v")).first()["v"] == pytest.approx(value)
