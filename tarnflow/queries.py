@@ -736,15 +736,15 @@ def rt_mass(s, d):
 
 
 @query(f"""WITH {CELLS}, {GAUGES}, {NEAR}, {RAIN}, z AS (SELECT gauge_id, count(*) AS cells FROM near GROUP BY 1),
-    q AS (SELECT gauge_id, time_s, depth_mm * cells * 0.9 AS v, gauge_id * 0.05 AS i, sum(depth_mm) OVER (PARTITION BY gauge_id ORDER BY time_s ROWS UNBOUNDED PRECEDING) > 40 AS wet FROM series JOIN z USING (gauge_id)),
+    q AS (SELECT gauge_id, time_s, depth_mm * cells * 0.9 AS v, (gauge_id + 1) * 0.0577215664 AS i, sum(depth_mm) OVER (PARTITION BY gauge_id ORDER BY time_s ROWS UNBOUNDED PRECEDING) > 40 AS wet FROM series JOIN z USING (gauge_id)),
     m AS (SELECT *, v * i AS a, if(wet, v * (1 - i), 0) AS b, if(wet, 0, v * (1 - i) * 0.3) AS c FROM q)
-    SELECT gauge_id AS zone, time_s, {R(*[f'sum({k}) OVER (PARTITION BY gauge_id ORDER BY time_s ROWS UNBOUNDED PRECEDING) AS {n}_m3' for k, n in (('a', 'imperv'), ('b', 'dunne'), ('c', 'horton'))], digits=7)} FROM m""")
+    SELECT gauge_id AS zone, time_s, {R(*[f'sum({k}) OVER (PARTITION BY gauge_id ORDER BY time_s ROWS UNBOUNDED PRECEDING) AS {n}_m3' for k, n in (('a', 'imperv'), ('b', 'dunne'), ('c', 'horton'))], digits=4)} FROM m""")
 def rt_part(s, d):
     """Cumulative volumes by mechanism: shed from sealed ground, and from soil that is full (after 40 mm) or takes up less than falls."""
     w = W.partitionBy("zone").orderBy("time_s").rowsBetween(W.unboundedPreceding, 0)
     given = i.series(s, d).join(_zone_cells(s, d), F.col("gauge_id") == F.col("zone")).select("zone", "time_s", (F.col("depth_mm") * F.col("cells") * SIZE * SIZE / 1000).alias("v"), (F.sum("depth_mm").over(w) > 40).alias("wet"))
-    parts = runoff.combined(F.col("v"), F.col("zone") * 0.05, F.col("wet"), F.lit(0.3))
-    return rounded(given.select("zone", "time_s", *[F.sum(c).over(w).alias(f"{k}_m3") for k, c in parts.items()]), 7)
+    parts = runoff.combined(F.col("v"), (F.col("zone") + 1) * 0.0577215664, F.col("wet"), F.lit(0.3))
+    return rounded(given.select("zone", "time_s", *[F.sum(c).over(w).alias(f"{k}_m3") for k, c in parts.items()]), 4)
 
 
 @query(f"WITH {CELLS}, {GAUGES}, {NEAR}, {RAIN}, {_ZONES} SELECT id AS zone, floor(t / 86400) * 86400 AS time_s, {R('sum(mm * cells * 0.9) / 86400 + 0.05 AS q_m3s')} FROM x JOIN z ON gauge_id = id GROUP BY ALL")
@@ -915,7 +915,7 @@ def f_stage(s, d):
 
 @query(f"""WITH RECURSIVE {FACC}, {_RIVER}, {_FLOOD}, rc AS (SELECT * FROM net WHERE facc > 100), dn AS (SELECT ds AS id, count(*) AS k FROM rc GROUP BY ds), en AS (SELECT rc.id, rc.ds IS NULL OR dn.k > 1 AS stop FROM rc LEFT JOIN dn ON dn.id = rc.ds),
     w AS (SELECT src AS id, arg_min(cur, hops) AS link FROM down JOIN en ON en.id = cur AND stop JOIN rc ON rc.id = src GROUP BY src), pk AS (SELECT reach AS id, max(q) AS q, arg_max(t, q) AS t FROM rf GROUP BY 1)
-    SELECT link, {R('avg(z) AS bed', 'avg(2.70 * pow(greatest(facc * 0.0009, 1e-6), 0.352)) AS width', 'max(facc) * 0.0009 AS area_km2', 'max(q) AS q')}, arg_max(rc.id, (q, -rc.id)) AS cell, arg_max(t, (q, -rc.id)) AS t FROM w JOIN rc USING (id) JOIN pk USING (id) GROUP BY link""")
+    SELECT link, {R('avg(z) AS bed', 'avg(2.70 * pow(greatest(facc * 0.0009, 1e-6), 0.352)) AS width', 'max(facc) * 0.0009 AS area_km2', 'max(q) AS q', digits=11)}, arg_max(rc.id, (q, -rc.id)) AS cell, arg_max(t, (q, -rc.id)) AS t FROM w JOIN rc USING (id) JOIN pk USING (id) GROUP BY link""")
 def f_level(s, d):
     """Links of the rivers: means of their cells, the largest area, and the largest flow at any cell with its time."""
     rivers = i.net(s, d).where("facc > 100")
@@ -924,7 +924,7 @@ def f_level(s, d):
     w, _ = hy.geometry(F.col("facc") * 0.0009, "usa")
     best = F.max(F.struct("q", (-F.col("id")).alias("k"), "t")).alias("m")
     met = rivers.join(links, "id").join(peaks, "id").groupBy("link").agg(F.avg("z").alias("bed"), F.avg(w).alias("width"), (F.max("facc") * 0.0009).alias("area_km2"), best)
-    return rounded(met.select("link", "bed", "width", "area_km2", F.col("m.q").alias("q"), (-F.col("m.k")).alias("cell"), F.col("m.t").alias("t")))
+    return rounded(met.select("link", "bed", "width", "area_km2", F.col("m.q").alias("q"), (-F.col("m.k")).alias("cell"), F.col("m.t").alias("t")), 11)
 
 
 @query(f"""WITH RECURSIVE {FACC}, {_RIVER}, {_PLAIN}, {_FLOOD}, {_YS}, {_CURVES}, {_STAGE} SELECT fa.id, min(t) FILTER (WHERE y - hand > 0.1) AS first_time, count(*) FILTER (WHERE y - hand > 0.1) * 21600.0 AS duration
@@ -975,12 +975,12 @@ def f_entries(s, d):
     return edge.groupBy(F.floor(F.col("r") / 10).alias("block")).agg(F.min_by("id", F.struct("z", "id")).alias("entry"))
 
 
-@query(f"WITH RECURSIVE {FACC}, {_FLOW} SELECT reach AS cell, floor(t / 86400) * 86400 AS day, {R('avg(q) AS mean', 'max(q) AS peak', digits=9)}, arg_max(t, (q, -t)) AS t_peak, count(*) AS records FROM rf GROUP BY ALL")
+@query(f"WITH RECURSIVE {FACC}, {_FLOW} SELECT reach AS cell, floor(t / 86400) * 86400 AS day, {R('avg(q) AS mean', 'max(q) AS peak', digits=12)}, arg_max(t, (q, -t)) AS t_peak, count(*) AS records FROM rf GROUP BY ALL")
 def f_recorder(s, d):
     """Mean, peak and its time of each river cell by day."""
     flow = _river_flow(s, d).groupBy(F.col("reach").alias("cell"), (F.floor(F.col("t") / 86_400) * 86_400).cast("double").alias("day"))
     best = flow.agg(F.avg("q").alias("mean"), F.max(F.struct("q", (-F.col("t")).alias("k"))).alias("m"), F.count(F.lit(1)).alias("records"))
-    return rounded(best.select("cell", "day", "mean", F.col("m.q").alias("peak"), (-F.col("m.k")).alias("t_peak"), "records"), 9)
+    return rounded(best.select("cell", "day", "mean", F.col("m.q").alias("peak"), (-F.col("m.k")).alias("t_peak"), "records"), 12)
 
 
 @query()
