@@ -107,15 +107,18 @@ def write_archives(pages: DataFrame, where: str, page_id: str = "page_id", url:
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     marked = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
-    firsts = (
-        rows.where(F.octet_length("html") >= REVISIT)
-        .groupBy(F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .drop("n")
+    # who refers to whom is found on digests alone; payloads are exchanged by page, so that a frequent one fills no task
+    slim = marked.where(F.octet_length("html") >= REVISIT).select(F.col("page_id").alias("i"), F.col("digest").alias("d"))
+    firsts = slim.groupBy("d").agg(F.min("i").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = slim.join(firsts, "d").where("i != first_id").distinct()
+    linked = (
+        marked.join(again, (F.col("page_id") == F.col("i")) & (F.col("digest") == F.col("d")), "left")
+        .select("page_id", "url", "html", "digest", F.col("first_id").alias("refers_to"))
     )
-    linked = marked.join(firsts, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
-    sample = rows.limit(SAMPLE).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html")).collect()
+    # the dictionary's pieces are drawn by hash over the whole table, from anywhere in a payload
+    lot, n = F.xxhash64("page_id", "url"), max(1, rows.count())
+    begin = F.pmod(F.xxhash64("page_id"), F.greatest(F.length("html") - SAMPLE_BYTES, F.lit(0)) + 1).cast("int") + 1
+    sample = rows.where(F.pmod(lot, F.lit(n)) < SAMPLE).limit(4 * SAMPLE).select("page_id", "url", F.substring("html", begin, F.lit(SAMPLE_BYTES)).alias("html")).collect()
     dictionary = build_dictionary([record(r["page_id"], r["url"], r["html"].encode(), "0" * 64, None) for r in sample])
     shared = spark.sparkContext.broadcast(dictionary)
 

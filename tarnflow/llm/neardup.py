@@ -15,7 +15,9 @@ its pairs, and none is capped. At a similarity of 0.8, bands of 5 in 32 miss a p
 probability 3e-6.
 
 Documents without words (null, empty, white space) have an empty set and are alone. Rows that
-repeat a doc_id are documents of their own. An empty table gives no rows.
+repeat a doc_id are documents of their own. A row without an id takes part by its text: it is in the
+component of the smallest id that it is linked with, and kept, with no component, where it has none.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import LOWER, batches, mix64, slices, text_buffer, word_hashes, word_spans, written
+from tarnflow.llm.common import LOWER, batches, mix64, partitions, slices, text_buffer, word_hashes, word_spans, written
 from tarnflow.llm.graphs import components
 
 #: Coordinates of a band and bands of a sketch.
 ROWS, BANDS = 5, 32
 #: Members of a block: a bucket of more is compared block by block.
 BLOCK = 512
+#: Tasks that block pairs are dealt to, by the number of partitions: several large pairs seldom meet in one.
+SPREAD = 4
 _VALUE = np.uint64(44)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -206,7 +210,7 @@ def _blocked(placed: DataFrame, *payload: str) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
     laid = placed.withColumn("own", own).withColumn("ij", F.explode(pairs))
-    return laid.select("key", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "own", "id", "component", *payload).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return laid.select("key", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "own", "id", "component", *payload).repartition(SPREAD * partitions(placed.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _agreeing(block: tuple, members: list[tuple], sketch: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -338,18 +342,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
     return (
         table.select("doc_id", "n", "set_a", "set_b").join(found, ["n", "set_a", "set_b"], "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near-duplicates, all columns kept: of each group that of the smallest id, and of rows that repeat it that of the smallest text.
+    """The documents without near-duplicates, all columns kept, whatever these are named: of each group that of the smallest id, and of rows that repeat it that of the smallest text.
 
     Documents without an id are all kept.
     """
     found = near_duplicates(docs, words, percent, doc_id=doc_id, text=text)
-    kept = found.where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    joined = docs.join(kept, docs[doc_id].cast("bigint") == kept["__kept"])
-    turn = F.row_number().over(W.partitionBy("__kept").orderBy(text))
-    ranked = joined.withColumn("__turn", turn).where("__turn = 1")
-    return ranked.select(*docs.columns).unionByName(docs.where(docs[doc_id].isNull()))
+    kept = found.where("kept and doc_id is not null").select(F.col("doc_id").alias("k")).distinct()
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].cast("bigint").alias("i"))
+    first = F.row_number().over(W.partitionBy("i").orderBy(F.col("row")[text]))
+    ranked = rows.join(kept, rows["i"] == kept["k"], "left_semi").withColumn("turn", first).where("turn = 1").select("row.*")
+    return ranked.unionByName(docs.where(docs[doc_id].isNull()))
