@@ -4,8 +4,8 @@ Format, all integers little-endian. A file begins with the eight bytes ``PLANES0
 chunks of a fixed number of ids. A chunk is transposed into planes: plane k holds bit k of every
 id, eight ids a byte (kind ``bit``), or byte k of every id (kind ``byte``); planes above the
 largest id are left out. Each plane is a zstandard frame. After the chunks come two zstandard
-frames, the documents (pairs of signed 64-bit id and unsigned 64-bit number of tokens) and the
-index; for each chunk the index has unsigned 64-bit integers: first byte, number of ids, number of
+frames, the documents (pairs of signed 64-bit id and signed 64-bit number of tokens n, or -1 - n
+for a document without an id) and the index; for each chunk the index has unsigned 64-bit integers: first byte, number of ids, number of
 planes, then the length of each plane's frame. The trailer is six unsigned 64-bit integers: place
 and length of the documents, place and length of the index, number of ids, kind (1 bit, 8 byte);
 then ``PLANES01`` again.
@@ -78,7 +78,7 @@ def from_planes(planes: list[bytes], n: int, kind: str = "bit") -> np.ndarray:
     return out.reshape(-1).view("<u4")[:n]
 
 
-def file_of(documents: Iterator[tuple[int, bytes]], kind: str = "bit", chunk: int = CHUNK) -> Iterator[bytes]:
+def file_of(documents: Iterator[tuple[int | None, bytes]], kind: str = "bit", chunk: int = CHUNK) -> Iterator[bytes]:
     """The bytes of a file of documents (id, ids as bytes), a piece at a time; holds one chunk and the index."""
     pack, place, index, names, total = zstandard.ZstdCompressor(level=3), len(MAGIC), [], [], 0
     yield MAGIC
@@ -92,7 +92,7 @@ def file_of(documents: Iterator[tuple[int, bytes]], kind: str = "bit", chunk: in
         return b"".join(frames)
 
     for name, data in documents:
-        names += [name, len(data) // 4]
+        names += [0, -1 - len(data) // 4] if name is None else [name, len(data) // 4]
         total += len(data) // 4
         waiting.append(data)
         size += len(data)
@@ -153,10 +153,11 @@ class TokenFile:
             at += n
         return np.concatenate(out)
 
-    def documents(self) -> Iterator[tuple[int, bytes]]:
+    def documents(self) -> Iterator[tuple[int | None, bytes]]:
         """Each document and its ids; holds one chunk and one document."""
         chunks, held, at = iter(self), b"", 0
         for name, n in self.names.tolist():
+            name, n = (None, -1 - n) if n < 0 else (name, n)
             parts, need = [], 4 * n
             while need > len(held) - at:
                 parts.append(held[at:])
@@ -193,7 +194,7 @@ def write_files(docs: DataFrame, where: str, path: str, end_id: int, word_ends:
                     for key, ids in zip(names[begin : begin + 256], encode.encode(texts[begin : begin + 256])):
                         counted[0] += len(ids) // 4 + 1
                         counted[1] += 1
-                        yield -(2**63) if key is None else key, ids + close
+                        yield key, ids + close
                 batch = next(given, None)
 
         write_once(name, file_of(documents(), kind))
@@ -219,7 +220,7 @@ def read_files(spark, files: list[tuple[int, str, int, int]]) -> DataFrame:
                 files, path = open_fs(name)
                 with files.open_input_file(path) as source:
                     for key, ids in TokenFile(source).documents():
-                        for column, value in zip(out, (None if key == -(2**63) else key, start, len(ids) // 4, zlib.crc32(ids))):
+                        for column, value in zip(out, (key, start, len(ids) // 4, zlib.crc32(ids))):
                             column.append(value)
                         start += len(ids) // 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["doc_id", "start", "n_tokens", "ids_crc32"])

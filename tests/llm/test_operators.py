@@ -101,7 +101,7 @@ def test_pieces_encode_as_the_library_does(path, ends, texts):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2**32 - 1), max_size=40), max_size=12), st.sampled_from(["bit", "byte"]))
 def test_token_file_round_trip(lists, kind):
-    given_ = [(k, np.array(x, "<u4").tobytes()) for k, x in enumerate(lists)]
+    given_ = [(None if k % 5 == 3 else -(2**63) if k % 5 == 4 else k, np.array(x, "<u4").tobytes()) for k, x in enumerate(lists)]
     data = b"".join(tokenfiles.file_of(iter(given_), kind, chunk=16))
     reader = tokenfiles.TokenFile(io.BytesIO(data))
     assert list(reader.documents()) == given_ and reader.total == sum(map(len, lists))
