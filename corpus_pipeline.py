@@ -1,7 +1,8 @@
 """A training corpus from raw documents: quality, near-duplicates, benchmark leaks, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. A stage's result is written and read again before the next one starts.
+of documents, whatever further ones there are. A stage's result is written and read again before the
+next one starts. An empty table gives an empty one in every stage.
 """
 
 from __future__ import annotations
@@ -14,27 +15,27 @@ from tarnflow.llm.common import written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the perplexity classifier accepts; it is trained on the labelled ones."""
+    """Documents that the perplexity classifier accepts; it is trained on the labelled ones. Null, empty and blank texts go; rows without an id are judged by their text; rows that repeat one each by its own."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of five-word near-duplicates."""
+    """One document, that of the smallest id, of each group of five-word near-duplicates. Of rows that repeat an id one stays, rows without an id and texts without words all do."""
     return neardup.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and empty texts hold none and stay, as do all without items."""
     return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by the name of its kind."""
+    """Documents with personal data replaced by the name of its kind. Every row stays; null texts stay null."""
     return privacy.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences; fewer words are kept than alone, as the workers hold what earlier stages took."""
+    """Pieces of the packed sequences; null and empty texts are their end id. Fewer words are kept than alone, as the workers hold what earlier stages took."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, kept=300_000)
 
 
