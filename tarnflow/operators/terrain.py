@@ -137,3 +137,17 @@ def ordered(net: DataFrame) -> DataFrame:
 
 def utm_zone(lon: Column) -> Column:
     return F.least(F.floor((lon + 180) / 6) + 1, F.lit(60)).cast("int")
+
+
+def conditioned(net: DataFrame, how: str = "carve", rise: float = 1e-4) -> DataFrame:
+    """Heights (id, z) without sinks: ``fill`` raises cells to the lowest way out of the grid, ``carve`` keeps ways and gives them a least gradient. Cells that are a ``lake`` stay as they are."""
+    from tarnflow.operators import kernels, tree
+
+    if how == "fill":
+        found = kernels.fill(net.select("id", "r", "c", "z"))
+    elif how == "carve":
+        found = tree.path_max(net, "z", rise, "z")
+    else:
+        raise ValueError(f"no such way to condition a terrain: {how!r}")
+    before = net.select("id", F.col("z").alias("was"), "lake")
+    return before.join(found, "id", "left").select("id", F.when(F.coalesce("lake", F.lit(False)) | F.col("z").isNull(), F.col("was")).otherwise(F.col("z")).alias("z"))

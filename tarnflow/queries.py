@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from tarnflow.functions import formula
 from tarnflow.operators import flood, hydraulics as hy, implicit, kernels, rain, runoff, skill, terrain, tree
 from tarnflow.plans import inputs as i
 from tarnflow.plans.inputs import CELLS, D8, DOWN, FACC, GAUGES, LAND, NEAR, NET, RAIN, SIZE
-from tarnflow.plans.store import once
+from tarnflow.plans.store import folder, once
 from tarnflow.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +134,83 @@ def src_manifest(s, d):
     return rounded(out.groupBy("frame", "id").agg((F.max("rate") * 1e6).alias("rate")))
 
 
+# rasters on grids of their own, brought to the cells: codes by the nearest, amounts between four
+def _coarse(s, d, value):
+    """A raster of 90 m over the cells, (r, c, z)."""
+    g = i.cells(s, d).where((F.col("r") % 3 == 1) & (F.col("c") % 3 == 1))
+    return g.select(F.floor(F.col("r") / 3).alias("r"), F.floor(F.col("c") / 3).alias("c"), value.alias("z"))
+
+
+def _aligned(s, d, value, how):
+    top = i.side(s, d) * SIZE
+    target = i.cells(s, d).select("id", "x", (top - F.col("y")).alias("y"))
+    return how(_coarse(s, d, value), target, 3 * SIZE, 0.0, top)
+
+
+def _raster_sql(value, fallback="NULL"):
+    return f"WITH {CELLS}, co AS (SELECT r // 3 AS r, c // 3 AS c, {value} AS v FROM cells WHERE r % 3 = 1 AND c % 3 = 1) SELECT cells.id, coalesce(co.v, {fallback}) AS v FROM cells LEFT JOIN co ON co.r = cells.r // 3 AND co.c = cells.c // 3"
+
+
+@query(_raster_sql("CASE WHEN id % 7 = 0 THEN NULL ELSE 40 + id % 50 END", "70").replace("AS v FROM cells LEFT", "::DOUBLE AS cn FROM cells LEFT"))
+def src_cn(s, d):
+    """Curve numbers; what is missing or not above zero has the fallback."""
+    raw = _aligned(s, d, F.when(F.col("id") % 7 == 0, F.when(F.col("id") % 2 == 0, -9999.0)).otherwise(40.0 + F.col("id") % 50), terrain.align_nearest)
+    return raw.select("id", F.when(F.col("z") > 0, F.col("z")).otherwise(70.0).alias("cn"))
+
+
+@query(_raster_sql("(id % 11) * 10", "0").replace("AS v FROM cells LEFT", "::INT AS class_code FROM cells LEFT"))
+def src_lulc(s, d):
+    return _aligned(s, d, (F.col("id") % 11 * 10).cast("double"), terrain.align_nearest).select("id", F.coalesce("z", F.lit(0.0)).cast("int").alias("class_code"))
+
+
+@query(_raster_sql("id % 17 + 1", "0").replace("AS v FROM cells LEFT", "::INT AS class_code FROM cells LEFT"))
+def src_lcz(s, d):
+    return _aligned(s, d, (F.col("id") % 17 + 1).cast("double"), terrain.align_nearest).select("id", F.coalesce("z", F.lit(0.0)).cast("int").alias("class_code"))
+
+
+def _bilinear_sql(value, out):
+    return f"""WITH {CELLS}, co AS (SELECT r // 3 AS r, c // 3 AS c, {value} AS z FROM cells WHERE r % 3 = 1 AND c % 3 = 1), u AS (SELECT id, x / 90 - 0.5 AS u, y / 90 - 0.5 AS v FROM cells),
+    k AS (SELECT id, floor(u) + i AS c, floor(v) + j AS r, (1 - abs(u - floor(u) - i)) * (1 - abs(v - floor(v) - j)) AS w FROM u, (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j))
+    SELECT k.id, {R(out)} FROM k LEFT JOIN co USING (r, c) GROUP BY k.id"""
+
+
+_MEAN = "sum(w * z) / nullif(sum(CASE WHEN z IS NOT NULL THEN w END), 0)"
+
+
+@query(_bilinear_sql("5 + id % 40", f"0.5 * coalesce({_MEAN}, 12) AS ksat_mm_h"))
+def src_ksat(s, d):
+    """Conductivities between raster cells, scaled; missing ones have the fallback."""
+    raw = _aligned(s, d, 5.0 + F.col("id") % 40, terrain.align_bilinear)
+    return rounded(raw.select("id", (0.5 * F.coalesce("z", F.lit(12.0))).alias("ksat_mm_h")))
+
+
+@query(_bilinear_sql("0.05 + id % 30 / 100.0", f"least(greatest(coalesce({_MEAN}, 0.2), 0.05), 1) AS deficit_m"))
+def src_deficit(s, d):
+    raw = _aligned(s, d, 0.05 + F.col("id") % 30 / 100, terrain.align_bilinear)
+    return rounded(raw.select("id", F.least(F.greatest(F.coalesce("z", F.lit(0.2)), F.lit(0.05)), F.lit(1.0)).alias("deficit_m")))
+
+
+@query(f"""WITH {CELLS}, co AS (SELECT r // 3 AS r, c // 3 AS c, id * 7 % 101 AS sand, (100 - id * 7 % 101) * (id % 11) / 10.0 AS clay FROM cells WHERE r % 3 = 1 AND c % 3 = 1), tx AS (SELECT *, 100 - sand - clay AS silt FROM co)
+    SELECT cells.id, coalesce(k.class, 'loam') AS class FROM cells LEFT JOIN (SELECT r, c, CASE {' '.join(f"WHEN {rule} THEN '{name}'" for name, rule in runoff.TRIANGLE)} ELSE 'loam' END AS class FROM tx) k ON k.r = cells.r // 3 AND k.c = cells.c // 3""")
+def src_texture(s, d):
+    """Classes of sand and clay rasters."""
+    k = F.col("id")
+    sand = (k * 7 % 101).cast("double")
+    both = _aligned(s, d, sand, terrain.align_nearest).withColumnRenamed("z", "sand").join(_aligned(s, d, (100 - sand) * (k % 11) / 10, terrain.align_nearest).withColumnRenamed("z", "clay"), "id")
+    return both.transform(runoff.texture).select("id", "class")
+
+
+@query("""WITH t AS (SELECT n_nationkey AS k, n_name AS name, n_nationkey % 5 * 100 AS x, n_nationkey // 5 * 100 AS y FROM nation), p AS (SELECT s_suppkey AS id, s_suppkey * 37.5 % 500 AS px, s_suppkey * 71.25 % 500 AS py FROM supplier)
+    SELECT id, min(name) AS name FROM p LEFT JOIN t ON px >= x AND px < x + 100 AND py >= y AND py < y + 100 - (px - x) GROUP BY id""")
+def src_hydroatlas(s, d):
+    """The basin of each point: triangles that fill half of a lattice."""
+    k = F.col("n_nationkey")
+    x, y = (k % 5 * 100).cast("double"), (F.floor(k / 5) * 100).cast("double")
+    shapes = i.table(s, d, "nation").select(F.col("n_name").alias("name"), F.array(x, x + 100, x).alias("xs"), F.array(y, y, y + 100).alias("ys"))
+    points = i.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * F.lit(37.5) % 500).alias("x"), (F.col("s_suppkey") * F.lit(71.25) % 500).alias("y"))
+    return tables.in_polygon(points, shapes)
+
+
 # ================================================================ terrain
 @query(f"WITH {NET} SELECT id, CAST(code AS INT) AS code, ds, {R('dist')} FROM flow")
 def t_d8_steepest(s, d):
@@ -241,6 +319,13 @@ def t_minslope(s, d):
     return rounded(tree.path_max(i.net(s, d), "z", 0.02, "z"))
 
 
+@query(f"WITH RECURSIVE {DOWN} SELECT f0.id, {R('CASE WHEN any_value(f0.c) % 7 = 3 THEN any_value(f0.z) ELSE max(f.z + 0.02 * length) END AS z')} FROM down JOIN flow f ON f.id = down.cur JOIN flow f0 ON f0.id = src GROUP BY f0.id")
+def t_condition(s, d):
+    """Carved to a least gradient, lakes left as they are."""
+    net = i.net(s, d).withColumn("lake", F.col("c") % 7 == 3)
+    return rounded(terrain.conditioned(net, "carve", 0.02))
+
+
 def _pits(s, d):
     return i.cells(s, d).select("id", "r", "c", (F.col("z") - F.when(F.col("id") % 17 == 3, 6.0).otherwise(0.0)).alias("z"), F.floor(F.col("c") / 32).alias("basin"))
 
@@ -502,6 +587,26 @@ def r_divide(s, d):
     return runoff.divides(i.net(s, d).join(rain.thiessen(i.cells(s, d), i.gauges(s, d)), "id").withColumnRenamed("gauge_id", "zone"))
 
 
+@query(_GA + f""", g AS (SELECT id, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS level, CAST(0 AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS dunne, CAST(0 AS DOUBLE) AS horton FROM x GROUP BY id UNION ALL
+    SELECT id, k, up, if(wet, f, f + into_), if(wet, dunne + rain * 3600, dunne), if(wet, horton, horton + rain * 3600 - into_) FROM (
+        SELECT g.id, x.k, g.f, g.dunne, g.horton, rain, least(rain, ksat * (1 + 0.03 / greatest(f, 1e-9))) * 3600 AS into_, level + rain * 3600 * 0.4 / 0.3 AS up, level + rain * 3600 * 0.4 / 0.3 > 0.12 AS wet FROM g JOIN x ON x.id = g.id AND x.k = g.k + 1))
+    SELECT id, {R('max(level) AS level', 'max(f) AS infiltrated', 'max(dunne) AS dunne', 'max(horton) AS horton')} FROM g GROUP BY id""")
+def r_order(s, d):
+    """Each step fills the store first; soil that is full by then takes up nothing."""
+    return rounded(runoff.saturation_first(_soil(s, d).withColumn("threshold", F.lit(0.12)), 3600.0, 0.4, 0.3))
+
+
+@query(f"""WITH {CELLS}, {GAUGES}, {NEAR}, z AS (SELECT gauge_id AS zone, avg(z) / 100 AS sd, 2e-7 * (gauge_id + 1) AS ksat FROM near JOIN cells USING (id) GROUP BY 1, gauge_id)
+    SELECT zone, {R('CASE WHEN zone % 2 = 0 THEN 0.3 ELSE greatest(sd, 0.05) END AS sd', '0.3 AS phi')}, CASE WHEN zone % 2 = 0 THEN 'manual' ELSE 'derived' END AS source, round(CASE WHEN zone % 3 = 0 THEN 1e-6 ELSE ksat END * 1e6, 6) AS ksat_um_s FROM z""")
+def r_soil(s, d):
+    """Deficit, porosity and conductivity by zone: given by hand, or derived where nothing is given."""
+    z = i.cells(s, d).join(rain.thiessen(i.cells(s, d), i.gauges(s, d)), "id").groupBy(F.col("gauge_id").alias("zone")).agg((F.avg("z") / 100).alias("sd"))
+    derived = z.withColumns({"ksat": F.lit(2e-7) * (F.col("zone") + 1), "phi": F.lit(None).cast("double")})
+    manual = s.range(10).select(F.col("id").alias("zone"), F.when(F.col("id") % 2 == 0, 0.3).alias("sd"), F.lit(None).cast("double").alias("phi"), F.when(F.col("id") % 3 == 0, 1e-6).alias("ksat"))
+    out = runoff.resolved(manual, derived, {"sd": 0.2, "phi": 0.3, "ksat": 1e-6}, 0.05)
+    return out.select("zone", F.round("sd", 6).alias("sd"), F.round("phi", 6).alias("phi"), "source", F.round(F.col("ksat") * 1e6, 6).alias("ksat_um_s"))
+
+
 @query(f"WITH {CELLS}, {GAUGES}, {NEAR} SELECT gauge_id AS zone, {R('greatest(avg(z) / 100, 0.05) AS mean', 'greatest(max(z) / 100, 0.05) AS most')} FROM near JOIN cells USING (id) GROUP BY 1")
 def r_zone_sd(s, d):
     z = i.cells(s, d).join(rain.thiessen(i.cells(s, d), i.gauges(s, d)), "id").groupBy(F.col("gauge_id").alias("zone"))
@@ -975,6 +1080,14 @@ def f_entries(s, d):
     return edge.groupBy(F.floor(F.col("r") / 10).alias("block")).agg(F.min_by("id", F.struct("z", "id")).alias("entry"))
 
 
+@query(f"WITH RECURSIVE {FACC}, b AS (SELECT *, r BETWEEN 10 AND 25 AND c BETWEEN 8 AND 30 AS within FROM net) SELECT a.id AS inlet, b.id AS enters, a.facc FROM b a JOIN b ON b.id = a.ds WHERE NOT a.within AND b.within AND a.facc > 5")
+def f_blocked(s, d):
+    """Rivers that enter a box: the cells outside that are closed, and those inside that get their water."""
+    net = i.net(s, d).withColumn("within", F.col("r").between(10, 25) & F.col("c").between(8, 30))
+    below = net.where("within").select(F.col("id").alias("ds"), F.col("id").alias("enters"))
+    return net.where("not within and facc > 5").join(below, "ds").select(F.col("id").alias("inlet"), "enters", "facc")
+
+
 @query(f"WITH RECURSIVE {FACC}, {_FLOW} SELECT reach AS cell, floor(t / 86400) * 86400 AS day, {R('avg(q) AS mean', 'max(q) AS peak', digits=12)}, arg_max(t, (q, -t)) AS t_peak, count(*) AS records FROM rf GROUP BY ALL")
 def f_recorder(s, d):
     """Mean, peak and its time of each river cell by day."""
@@ -1098,6 +1211,61 @@ def snk_hydro(s, d):
     return rounded(i.series(s, d).groupBy("time_s").agg(F.sum("depth_mm").alias("q")).withColumn("time_hr", F.col("time_s") / 3600))
 
 
+def _written(s, name):
+    return f"{folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+_PART_TOTAL = "SELECT time_s, time_s / 3600 AS time_hr, " + R(*[f"sum({n}_m3) AS {n}_m3" for n in ("dunne", "horton", "imperv")], digits=4)
+
+
+@query(f"{_PART_TOTAL} FROM ({ORACLES['rt_part']}) GROUP BY time_s")
+def snk_partition(s, d):
+    """The cumulative series of all zones, written and read again."""
+    where = _written(s, "partition")
+    total = QUERIES["rt_part"](s, d).groupBy("time_s").agg(*[F.sum(f"{n}_m3").alias(f"{n}_m3") for n in ("dunne", "horton", "imperv")])
+    sinks.write_tables({"partition": total.select("time_s", (F.col("time_s") / 3600).alias("time_hr"), "dunne_m3", "horton_m3", "imperv_m3")}, where)
+    return rounded(s.read.csv(f"{where}/partition", header=True, schema="time_s double, time_hr double, dunne_m3 double, horton_m3 double, imperv_m3 double"), 4)
+
+
+@query(f"SELECT tag, zone, rain_m3, runoff_m3, closed FROM (VALUES ('first'), ('second')) t(tag), ({ORACLES['rt_mass']})")
+def snk_ledger(s, d):
+    """Two runs' rows, added one after the other."""
+    where = _written(s, "ledger")
+    for tag in ("first", "second"):
+        sinks.append_ledger(QUERIES["rt_mass"](s, d).select(F.lit(tag).alias("tag"), "zone", "rain_m3", "runoff_m3", "closed"), where)
+    return s.read.parquet(where)
+
+
+@query(f"WITH {CELLS}, {GAUGES}, {NEAR}, {RAIN}, {_ZONES} SELECT id AS zone, {R('mm AS excess_mm')} FROM x WHERE t = 432000")
+def snk_fields(s, d):
+    """Fields by time; one frame is read without the others."""
+    where = _written(s, "fields")
+    sinks.write_fields(_zone_excess(s, d).select("zone", "time_s", "excess_mm"), where)
+    return rounded(s.read.parquet(where).where("time_s = 432000").select("zone", "excess_mm"))
+
+
+@query(f"WITH {NET} SELECT id, {R('z * 0.01 AS volume')} FROM flow")
+def snk_state(s, d):
+    """A state, saved and taken up again by a run of the same grid, scheme and parameters."""
+    where, net = _written(s, "state"), i.net(s, d)
+    sinks.write_state(net.select("id", (F.col("z") * 0.01).alias("volume")), where, 6.0, net, "implicit", ["z", "dist"])
+    return rounded(sinks.read_state(s, where, 6.0, net, "implicit", ["z", "dist"]))
+
+
+@query(f"SELECT link, cell, round(q, 4) AS q FROM ({ORACLES['f_level']})")
+def snk_tables(s, d):
+    where = _written(s, "tables")
+    sinks.write_tables({"reaches": QUERIES["f_level"](s, d)}, where)
+    return s.read.csv(f"{where}/reaches", header=True, inferSchema=True).select(F.col("link").cast("bigint").alias("link"), F.col("cell").cast("bigint").alias("cell"), F.round("q", 4).alias("q"))
+
+
+@query()
+def rt_tree_solve(s, d):
+    net = i.net(s, d).select("id", "ds", "root", "z", F.when(F.col("ds").isNotNull(), 1 + F.col("id") % 5).otherwise(0).cast("double").alias("face"))
+    above = net.where("ds is not null").groupBy(F.col("ds").alias("id")).agg(F.sum("face").alias("from"))
+    return rounded(implicit.solved(net.join(above, "id", "left").select("id", "ds", "root", "face", (1 + F.col("face") + F.coalesce("from", F.lit(0.0))).alias("diagonal"), F.col("z").alias("given"))))
+
+
 @query()
 def snk_geojson(s, d):
     net = i.net(s, d).where("facc > 500")

@@ -241,3 +241,39 @@ def test_formulas():
 @pytest.mark.parametrize(("text", "value"), [("2^3^2", 512.0), ("-2^2", -4.0), ("2**-1", 0.5), ("1-2-3", -4.0), ("8/4/2", 1.0), ("2*(3+x)", 8.0), ("min(3, 2, x)+1e-3", 1.001), ("- -x", 1.0), ("sqrt(16)*.5", 2.0), ("A_below(30)+1", 31.0)])
 def test_precedence(spark, text, value):
     assert spark.range(1).select(compiled(text, {"x": F.lit(1.0)}, {"A_below": lambda z: F.lit(z)}).alias("v")).first()["v"] == pytest.approx(value)
+
+
+def test_states_of_other_grids_schemes_or_parameters_are_refused(eight, spark, tmp_path):
+    state, where = eight.select("id", F.lit(1.5).alias("volume")), f"file://{tmp_path}/state"
+    sinks.write_state(state, where, 6.0, eight, "implicit", ["z", "dist"])
+    again = lambda grid=eight, scheme="implicit", hours=6.0: sinks.read_state(spark, where, hours, grid, scheme, ["z", "dist"])
+    assert sorted(map(tuple, again().collect())) == [(k, 1.5) for k in range(8)]
+    assert again(eight.withColumn("z", F.col("z") * (1 + 1e-7))).count() == 8
+    for other in (eight.withColumn("z", F.col("z") * 1.01), eight.where("id < 7"), eight.withColumn("ds", F.when(F.col("id") == 6, 2).otherwise(F.col("ds")))):
+        with pytest.raises(ValueError):
+            again(other)
+    with pytest.raises(ValueError):
+        again(scheme="kinematic")
+
+
+def test_points_in_polygons_by_broadcast_and_by_tiles(spark):
+    shapes = spark.createDataFrame([("a", [0.0, 10.0, 10.0, 0.0], [0.0, 0.0, 10.0, 10.0]), ("b", [20.0, 30.0, 25.0], [0.0, 0.0, 10.0]), ("c", [5.0, 15.0, 15.0, 5.0], [5.0, 5.0, 15.0, 15.0])], "name string, xs array<double>, ys array<double>")
+    points = spark.createDataFrame([(0, 1.0, 1.0), (1, 25.0, 9.0), (2, 21.0, 9.0), (3, 7.0, 7.0), (4, 12.0, 12.0), (5, 50.0, 50.0)], "id bigint, x double, y double")
+    for most in (10, 1):
+        assert by_id(tables.in_polygon(points, shapes, most), "name") == {0: "a", 1: "b", 2: None, 3: "a", 4: "c", 5: None}
+
+
+def test_conditioning(spark):
+    rows = [(k, 0, k, z, k - 1 if k else None, 1.0, k == 3) for k, z in enumerate((1.0, 3.0, 2.0, 0.5, 5.0))]
+    net = spark.createDataFrame(rows, "id bigint, r bigint, c bigint, z double, ds bigint, dist double, lake boolean")
+    assert by_id(terrain.conditioned(net, "carve", 0.1), "z") == pytest.approx({0: 1.0, 1: 3.0, 2: 3.1, 3: 0.5, 4: 5.0})
+    assert by_id(terrain.conditioned(net, "fill"), "z") == {0: 1.0, 1: 3.0, 2: 2.0, 3: 0.5, 4: 5.0}
+    with pytest.raises(ValueError):
+        terrain.conditioned(net, "dig")
+
+
+def test_parameters_by_hand_derived_or_default(spark):
+    manual = spark.createDataFrame([(0, 0.3, None), (1, None, 2.0)], "zone bigint, sd double, phi double")
+    derived = spark.createDataFrame([(0, 0.9, 0.4), (1, 0.01, 0.4), (2, None, None)], "zone bigint, sd double, phi double")
+    found = {r["zone"]: tuple(r)[1:] for r in runoff.resolved(manual, derived, {"sd": 0.2, "phi": 0.35}, 0.05).collect()}
+    assert found == {0: (0.3, 0.4, "manual"), 1: (0.05, 2.0, "derived"), 2: (0.2, 0.35, "default")}
