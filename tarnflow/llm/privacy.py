@@ -54,7 +54,7 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]{2}|[0-9][\x20-][0-
 #: Generators of candidates: around an at sign, an at sign in words, runs of digits, numbers with points in brackets.
 GENERATORS = {
     "at": (r"(?:(?<![^\s@<>\"'(),;:])|\G)[^\s@<>\"'(),;:]++@[^\s@<>\"'(),;:]++", "@"),
-    "written": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT) )[A-Za-z0-9-]++)++| (?:at|AT) [A-Za-z0-9-]++(?: (?:dot|DOT) [A-Za-z0-9-]++)++)", r"(?:at|AT)[ \])}]"),
+    "written": (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?| (?:dot|DOT) )[A-Za-z0-9-]++)++| (?:at|AT) [A-Za-z0-9-]++(?: (?:dot|DOT) [A-Za-z0-9-]++)++)", r"[\[({] ?(?:at|AT) ?[\])}]| (?:at|AT) [A-Za-z0-9-]++ (?:dot|DOT) "),
     "digits": (r"(?<![0-9A-Za-z])\(?[0-9](?:[\x20()./-]{0,2}+[0-9])++(?![0-9A-Za-z])", r"[0-9][\x20()./-]{0,2}[0-9]"),
     "points": (r"(?<![0-9A-Za-z])[0-9]++(?: ?[\[(](?:\.|dot)[\])] ?[0-9]++)++(?![0-9A-Za-z])", r"[\[(](?:\.|dot)[\])]"),
 }
