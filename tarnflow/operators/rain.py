@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Gauges up to this many are broadcast to the cells; more are met through tiles.
-FEW_GAUGES = 10_000
+FEW_GAUGES = 1_000
 
 
 def rates(series: DataFrame) -> DataFrame:
@@ -23,18 +23,18 @@ def uniform(spark, rate_mm_h: float, duration_s: float) -> DataFrame:
     return spark.createDataFrame([(0, 0.0, r), (0, duration_s - 1e-6, r), (0, duration_s, 0.0)], "gauge_id bigint, time_s double, rate double")
 
 
-def _paired(cells: DataFrame, gauges: DataFrame) -> DataFrame:
-    """Cells with all gauges, which are broadcast: their number is checked."""
+def _with_gauges(cells: DataFrame, gauges: DataFrame) -> DataFrame:
+    """Cells, each with all gauges and their squared distances as one array ``g``: gauges are one broadcast row, whose size is checked, and cells are not exchanged."""
     if gauges.limit(FEW_GAUGES + 1).count() > FEW_GAUGES:
         raise ValueError(f"more than {FEW_GAUGES} gauges: use nearest_by_tiles")
-    d2 = (F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2
-    few = F.broadcast(gauges.select("gauge_id", F.col("x").alias("gx"), F.col("y").alias("gy")))
-    return cells.select("id", "x", "y").join(few).withColumn("d2", d2)
+    all_ = F.broadcast(gauges.agg(F.array_sort(F.collect_list(F.struct("gauge_id", F.col("x").alias("gx"), F.col("y").alias("gy")))).alias("all")))
+    far = F.transform("all", lambda g: F.struct(((F.col("x") - g["gx"]) ** 2 + (F.col("y") - g["gy"]) ** 2).alias("d2"), g["gauge_id"].alias("gauge_id")))
+    return cells.select("id", "x", "y").join(all_).select("id", far.alias("g"))
 
 
 def thiessen(cells: DataFrame, gauges: DataFrame) -> DataFrame:
-    """id and nearest gauge, ties to the smallest gauge; partial aggregates keep one row a cell."""
-    return _paired(cells, gauges).groupBy("id").agg(F.min(F.struct("d2", "gauge_id")).alias("m")).select("id", F.col("m.gauge_id").alias("gauge_id"))
+    """id and nearest gauge, ties to the smallest gauge; found within each row."""
+    return _with_gauges(cells, gauges).select("id", F.array_min("g")["gauge_id"].alias("gauge_id"))
 
 
 def nearest_by_tiles(cells: DataFrame, gauges: DataFrame, tile: float, rings: int = 1) -> DataFrame:
@@ -47,14 +47,19 @@ def nearest_by_tiles(cells: DataFrame, gauges: DataFrame, tile: float, rings: in
     return met.groupBy("id").agg(F.min(F.when(F.col("gauge_id").isNotNull(), F.struct(((F.col("x") - F.col("gx")) ** 2 + (F.col("y") - F.col("gy")) ** 2).alias("d2"), "gauge_id"))).alias("m")).select("id", F.col("m.gauge_id").alias("gauge_id"))
 
 
+def nearest_of_many(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """For each of a few points (gauge_id, x, y; their number is checked) the nearest of many cells, ties to the smallest id: each cell meets all points in its row, and one row a point leaves a task."""
+    near = F.min(F.struct("g.d2", "id")).alias("m")
+    return _with_gauges(cells, points).select("id", F.explode("g").alias("g")).groupBy("g.gauge_id").agg(near).select("gauge_id", F.col("m.id").alias("cell"))
+
+
 def idw(cells: DataFrame, gauges: DataFrame, power: float = 2.0) -> DataFrame:
-    """id, gauge and weight by inverse distance; a gauge on the spot has all."""
-    pairs = _paired(cells, gauges)
-    w = W.partitionBy("id")
-    hit = F.sum(F.when(F.col("d2") == 0, 1).otherwise(0)).over(w)
-    raw = F.when(hit > 0, F.when(F.col("d2") == 0, 1.0).otherwise(0.0)).otherwise(F.pow("d2", F.lit(-power / 2)))
-    pairs = pairs.withColumn("raw", raw)
-    return pairs.select("id", "gauge_id", (F.col("raw") / F.sum("raw").over(w)).alias("w"))
+    """id, gauge and weight by inverse distance; a gauge on the spot has all. Weights are made within each row."""
+    hit = F.exists("g", lambda g: g["d2"] == 0)
+    raw = F.transform("g", lambda g: F.struct(g["gauge_id"].alias("gauge_id"), F.when(F.col("hit"), (g["d2"] == 0).cast("double")).otherwise(F.pow(g["d2"], F.lit(-power / 2))).alias("raw")))
+    weighed = _with_gauges(cells, gauges).withColumn("hit", hit).select("id", raw.alias("w"))
+    total = F.aggregate("w", F.lit(0.0), lambda t, x: t + x["raw"])
+    return weighed.withColumn("total", total).select("id", F.inline("w"), "total").select("id", "gauge_id", (F.col("raw") / F.col("total")).alias("w"))
 
 
 def inside(gauges: DataFrame, cells: DataFrame, size: float) -> DataFrame:

@@ -261,10 +261,9 @@ def t_stream(s, d):
 @query(f"WITH RECURSIVE {FACC}, st AS (SELECT * FROM net WHERE facc > greatest(1, n * n // 100)), p AS (SELECT s_suppkey AS k, s_suppkey * 37 % n AS pr, s_suppkey * 53 % n AS pc FROM supplier, n0 WHERE s_suppkey < 10) SELECT k AS gauge_id, arg_min(id, (r - pr) ** 2 + (c - pc) ** 2 + id * 1e-9) AS cell FROM p, st GROUP BY k")
 def t_snap_out(s, d):
     n = i.side(s, d)
-    points = i.gauges(s, d).select("gauge_id", F.floor(F.col("y") / SIZE).alias("pr"), F.floor(F.col("x") / SIZE).alias("pc"))
-    stream = i.net(s, d).where(F.col("facc") > max(1, n * n // 100)).select("id", "r", "c")
-    d2 = F.pow(F.col("r") - F.col("pr"), F.lit(2)) + F.pow(F.col("c") - F.col("pc"), F.lit(2))
-    return stream.join(F.broadcast(points)).groupBy("gauge_id").agg(F.min(F.struct(d2.alias("d2"), "id")).alias("m")).select("gauge_id", F.col("m.id").alias("cell"))
+    points = i.gauges(s, d).select("gauge_id", F.floor(F.col("x") / SIZE).cast("double").alias("x"), F.floor(F.col("y") / SIZE).cast("double").alias("y"))
+    stream = i.net(s, d).where(F.col("facc") > max(1, n * n // 100)).select("id", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
+    return rain.nearest_of_many(stream, points)
 
 
 @query(f"WITH RECURSIVE {FACC}, o AS (SELECT id FROM net WHERE r = n // 2 ORDER BY facc DESC, id LIMIT 1) SELECT src AS id FROM down, o WHERE cur = o.id")

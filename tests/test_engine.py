@@ -158,9 +158,10 @@ def test_storm_text_gauges_and_files(spark, tmp_path):
     with pytest.raises(ValueError, match="b"):
         tables.gauges(spark, str(tmp_path / "g.csv"), str(tmp_path / "t.csv"))
     state = spark.range(5).select("id", (F.col("id") * 2.0).alias("v"))
-    sinks.write_state(state, str(tmp_path / "s"), 6)
-    sinks.write_state(state, str(tmp_path / "s"), 12)
-    assert spark.read.parquet(str(tmp_path / "s")).groupBy("state_hours").count().count() == 2
+    grid = state.withColumn("ds", F.lit(None).cast("bigint"))
+    sinks.write_state(state, str(tmp_path / "s"), 6, grid, "implicit", ["v"])
+    sinks.write_state(state.withColumn("v", F.col("v") + 1), str(tmp_path / "s"), 12, grid, "implicit", ["v"])
+    assert [sinks.read_state(spark, str(tmp_path / "s"), h, grid, "implicit", ["v"]).agg(F.sum("v")).first()[0] for h in (6, 12)] == [20, 25]
     sinks.write_hydrograph(spark.createDataFrame([(0.0, 1.0)], "time_s double, q double"), str(tmp_path / "h"))
     assert spark.read.option("header", True).csv(str(tmp_path / "h")).columns == ["time_s", "time_hr", "Q_m3s"]
     with pytest.raises(ValueError):
