@@ -186,53 +186,96 @@ def lowered(z: np.ndarray, level: np.ndarray) -> np.ndarray:
     return out
 
 
-def fill(cells: DataFrame, tile: int = 64) -> DataFrame:
-    """Depression filling of a whole grid (id, r, c, z): no cell below all ways out of it. Water leaves at the grid's edge and beside missing cells.
-
-    The grid is cut into tiles, and each is flooded from the levels around it; only its rim goes to its
-    neighbours, until no rim changes, which takes as many rounds as tiles lie on the longest way out.
-    """
+def tiles_of(cells: DataFrame, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Cells (id, r, c, z) with their tile, and a written row for each tile: its heights as one array with an empty rim around."""
     keyed = cells.select("id", "r", "c", "z", F.floor(F.col("r") / tile).cast("bigint").alias("tr"), F.floor(F.col("c") / tile).cast("bigint").alias("tc"))
     side = tile + 2
 
-    def tiles(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def gather(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         grid = np.full((side, side), np.nan)
         grid[rows["r"] - key[0] * tile + 1, rows["c"] - key[1] * tile + 1] = rows["z"]
         return pd.DataFrame({"tr": [key[0]], "tc": [key[1]], "z": [grid.tobytes()]})
 
-    base = cut(keyed.groupBy("tr", "tc").applyInPandas(tiles, "tr bigint, tc bigint, z binary"))
-
-    def rims(frame: DataFrame, column: str) -> DataFrame:
-        """What each tile sees of its neighbours: a grid with the rim only."""
-
-        def spread(batches):
-            for rows in batches:
-                out = []
-                for tr, tc, data in zip(rows["tr"], rows["tc"], rows[column]):
-                    inner = np.frombuffer(data).reshape(side, side)[1:-1, 1:-1]
-                    for dr in (-1, 0, 1):
-                        for dc in (-1, 0, 1):
-                            if dr or dc:
-                                # the neighbour at (dr, dc) has this tile on its opposite side
-                                own = inner[{-1: slice(0, 1), 0: slice(None), 1: slice(-1, None)}[dr], {-1: slice(0, 1), 0: slice(None), 1: slice(-1, None)}[dc]]
-                                out.append((tr + dr, tc + dc, -dr, -dc, np.ascontiguousarray(own).tobytes()))
-                yield pd.DataFrame(out, columns=["tr", "tc", "dr", "dc", "rim"])
-
-        sent = frame.select("tr", "tc", column).mapInPandas(spread, "tr bigint, tc bigint, dr int, dc int, rim binary")
-        return sent.groupBy("tr", "tc").agg(F.collect_list(F.struct("dr", "dc", "rim")).alias(f"{column}_rims"))
-
-    def put(grid: np.ndarray, given) -> None:
-        place = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
-        for one in given if given is not None else ():
-            part = grid[place[one["dr"]], place[one["dc"]]]
-            part[...] = np.frombuffer(one["rim"]).reshape(part.shape)
+    return keyed, cut(keyed.groupBy("tr", "tc").applyInPandas(gather, "tr bigint, tc bigint, z binary"))
+
+
+def rims_of(frame: DataFrame, column: str, side: int) -> DataFrame:
+    """What each tile sees of its neighbours' arrays: the sides and corners that touch it. Only these are exchanged."""
+    part = {-1: slice(0, 1), 0: slice(None), 1: slice(-1, None)}
+
+    def spread(batches):
+        for rows in batches:
+            out = []
+            for tr, tc, data in zip(rows["tr"], rows["tc"], rows[column]):
+                inner = np.frombuffer(data).reshape(side, side)[1:-1, 1:-1]
+                for dr in (-1, 0, 1):
+                    for dc in (-1, 0, 1):
+                        if dr or dc:  # the neighbour there has this tile on its opposite side
+                            out.append((tr + dr, tc + dc, -dr, -dc, np.ascontiguousarray(inner[part[dr], part[dc]]).tobytes()))
+            yield pd.DataFrame(out, columns=["tr", "tc", "dr", "dc", "rim"])
+
+    sent = frame.select("tr", "tc", column).mapInPandas(spread, "tr bigint, tc bigint, dr int, dc int, rim binary")
+    return sent.groupBy("tr", "tc").agg(F.collect_list(F.struct("dr", "dc", "rim")).alias(f"{column}_rims"))
+
+
+def put_rims(grid: np.ndarray, given) -> None:
+    place = {-1: slice(0, 1), 0: slice(1, -1), 1: slice(-1, None)}
+    for one in given if given is not None else ():
+        part = grid[place[one["dr"]], place[one["dc"]]]
+        part[...] = np.frombuffer(one["rim"]).reshape(part.shape)
+
+
+def d8(cells: DataFrame, n: int, size: float = 30.0, by: str = "slope", tile: int = 128) -> DataFrame:
+    """id, code, ds and dist of the steepest way down on an n by n lattice (id is r n + c), ties to the smallest code; null where there is none. ``by`` is slope or drop. Tiles see a rim of one cell around them, and nothing else is exchanged."""
+    from tarnflow.operators.terrain import D8, ROOT2
+
+    side = tile + 2
+    _, base = tiles_of(cells, tile)
+    order = sorted(D8)
+
+    def steepest(batches):
+        for rows in batches:
+            out = []
+            for tr, tc, data, given in zip(rows["tr"], rows["tc"], rows["z"], rows["z_rims"]):
+                z = np.frombuffer(data).reshape(side, side).copy()
+                put_rims(z, given)
+                own = z[1:-1, 1:-1]
+                best, code = np.zeros(own.shape), np.zeros(own.shape, np.int32)
+                for k, dr, dc in order:
+                    dist = size * ROOT2 if dr and dc else size
+                    fall = own - z[1 + dr : side - 1 + dr, 1 + dc : side - 1 + dc]
+                    measure = np.nan_to_num(fall / dist if by == "slope" else fall, nan=-1.0)
+                    code = np.where(measure > best, k, code)
+                    best = np.maximum(best, measure)
+                r, c = np.nonzero(~np.isnan(own))
+                found = code[r, c]
+                step = {k: (dr * n + dc, size * ROOT2 if dr and dc else size) for k, dr, dc in D8}
+                here = (r + tr * tile) * n + c + tc * tile
+                flows = found > 0
+                ds = [int(i + step[k][0]) if f else None for i, k, f in zip(here.tolist(), found.tolist(), flows.tolist())]
+                out.append(pd.DataFrame({"id": here, "code": pd.array(np.where(flows, found, 0), "Int32").astype("Int32"), "ds": pd.array(ds, "Int64"), "dist": [step[k][1] if k else None for k in found.tolist()]}))
+                out[-1].loc[~flows, "code"] = pd.NA
+            if out:
+                yield pd.concat(out)
+
+    return base.join(rims_of(base, "z", side), ["tr", "tc"], "left").mapInPandas(steepest, "id bigint, code int, ds bigint, dist double")
+
+
+def fill(cells: DataFrame, tile: int = 64) -> DataFrame:
+    """Depression filling of a whole grid (id, r, c, z): no cell below all ways out of it. Water leaves at the grid's edge and beside missing cells.
+
+    The grid is cut into tiles, and each is flooded from the levels around it; only its rim goes to its
+    neighbours, until no rim changes, which takes as many rounds as tiles lie on the longest way out.
+    """
+    side = tile + 2
+    keyed, base = tiles_of(cells, tile)
 
     def begin(batches):
         for rows in batches:
             out = []
             for tr, tc, data, given in zip(rows["tr"], rows["tc"], rows["z"], rows["z_rims"]):
                 z = np.frombuffer(data).reshape(side, side).copy()
-                put(z, given)
+                put_rims(z, given)
                 gap = np.isnan(z)
                 beside = np.zeros(z.shape, bool)
                 for i in (-1, 0, 1):
@@ -248,15 +291,15 @@ def fill(cells: DataFrame, tile: int = 64) -> DataFrame:
             for tr, tc, data, held, given in zip(rows["tr"], rows["tc"], rows["z"], rows["level"], rows["level_rims"]):
                 z, level = np.frombuffer(data).reshape(side, side), np.frombuffer(held).reshape(side, side).copy()
                 before = level[1:-1, 1:-1].copy()
-                put(level, given)
+                put_rims(level, given)
                 level = lowered(z, level)
                 out.append((tr, tc, data, level.tobytes(), bool((level[1:-1, 1:-1] != before).any())))
             yield pd.DataFrame(out, columns=["tr", "tc", "z", "level", "changed"])
 
     schema = "tr bigint, tc bigint, z binary, level binary, changed boolean"
-    now = cut(base.join(rims(base, "z"), ["tr", "tc"], "left").mapInPandas(begin, schema))
+    now = cut(base.join(rims_of(base, "z", side), ["tr", "tc"], "left").mapInPandas(begin, schema))
     while not now.where("changed").isEmpty():
-        now = cut(now.join(rims(now, "level"), ["tr", "tc"], "left").mapInPandas(flood, schema))
+        now = cut(now.join(rims_of(now, "level", side), ["tr", "tc"], "left").mapInPandas(flood, schema))
 
     def spill(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         level = np.frombuffer(right["level"].iloc[0]).reshape(side, side)

@@ -29,16 +29,6 @@ def neighbours(cells: DataFrame, n: int, size: float) -> DataFrame:
     )
 
 
-def d8(cells: DataFrame, n: int, size: float = 30.0, by: str = "slope") -> DataFrame:
-    """id, code, ds and dist of the steepest way down, ties to the smallest code; null where there is none. ``by`` is slope or drop."""
-    other = cells.select(F.col("id").alias("nid"), F.col("z").alias("nz"))
-    fall = F.col("z") - F.col("nz")
-    way = neighbours(cells.select("id", "r", "c", "z"), n, size).join(other, "nid").where(fall > 0)
-    measure = fall / F.col("dist") if by == "slope" else fall
-    best = way.groupBy("id").agg(F.max_by(F.struct("code", "nid", "dist"), F.struct(measure.alias("m"), (-F.col("code")).alias("k"))).alias("b"))
-    return cells.select("id").join(best, "id", "left").select("id", "b.code", F.col("b.nid").alias("ds"), "b.dist")
-
-
 def downstream(codes: DataFrame, n: int, size: float = 30.0) -> DataFrame:
     """ds and dist from D8 codes (id, r, c, code); null where the step leaves the lattice or the target is not a cell."""
     table = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, dr, dc in D8])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.operators import rain, terrain, tree
+from tarnflow.operators import kernels, rain, tree
 from tarnflow.plans.store import once
 
 SIZE, BUCKET = 30.0, 21_600
@@ -28,14 +28,23 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").where(k < n * n).select(k.alias("id"), r.alias("r"), c.alias("c"), z.alias("z"), ((c + 0.5) * SIZE).alias("x"), ((r + 0.5) * SIZE).alias("y"))
 
 
+def flow(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells with flow direction; built once."""
+
+    def build() -> DataFrame:
+        grid = cells(spark, sf)
+        return grid.join(kernels.d8(grid, side(spark, sf), SIZE), "id")
+
+    return once(spark, ("d8", sf), build)
+
+
 def net(spark: SparkSession, sf: str) -> DataFrame:
     """Cells with flow direction, accumulation and the number of steps to the outlet; built once."""
 
     def build() -> DataFrame:
-        n, grid = side(spark, sf), cells(spark, sf)
-        flow = once(spark, ("d8", sf), lambda: grid.join(terrain.d8(grid, n, SIZE), "id"))
-        facc = tree.accumulate(flow.withColumn("one", F.lit(1)), "one", "facc")
-        return flow.join(facc, "id").join(tree.descend(flow), "id")
+        ways = flow(spark, sf)
+        facc = tree.accumulate(ways.withColumn("one", F.lit(1)), "one", "facc")
+        return ways.join(facc, "id").join(tree.descend(ways), "id")
 
     return once(spark, ("net", sf), build)
 

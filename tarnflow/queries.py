@@ -13,7 +13,7 @@ from tarnflow.functions import formula
 from tarnflow.operators import flood, hydraulics as hy, implicit, kernels, rain, runoff, skill, terrain, tree
 from tarnflow.plans import inputs as i
 from tarnflow.plans.inputs import CELLS, D8, DOWN, FACC, GAUGES, LAND, NEAR, NET, RAIN, SIZE
-from tarnflow.plans.store import folder, once
+from tarnflow.plans.store import cut, folder, once
 from tarnflow.sources import sinks, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,14 +214,14 @@ def src_hydroatlas(s, d):
 # ================================================================ terrain
 @query(f"WITH {NET} SELECT id, CAST(code AS INT) AS code, ds, {R('dist')} FROM flow")
 def t_d8_steepest(s, d):
-    return rounded(i.net(s, d).select("id", "code", "ds", "dist"))
+    return rounded(i.flow(s, d).select("id", "code", "ds", "dist"))
 
 
 @query(f"""WITH {CELLS}, {D8}, ways AS (SELECT id, z, code, (r + dr) * n + c + dc AS nid FROM cells, d8 WHERE r + dr BETWEEN 0 AND n - 1 AND c + dc BETWEEN 0 AND n - 1)
     SELECT cells.id, CAST(b.code AS INT) AS code FROM cells LEFT JOIN (SELECT w.id, w.code FROM ways w JOIN cells o ON o.id = w.nid WHERE w.z > o.z
     QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY w.z - o.z DESC, w.code) = 1) b USING (id)""")
 def t_d8_drop(s, d):
-    return terrain.d8(i.cells(s, d), i.side(s, d), SIZE, "drop").select("id", "code")
+    return kernels.d8(i.cells(s, d), i.side(s, d), SIZE, "drop").select("id", "code")
 
 
 @query(f"WITH {NET} SELECT id, CASE WHEN r * c % 13 <> 5 THEN f.ds END AS ds FROM (SELECT f.*, o.id IS NOT NULL AS hit FROM flow f LEFT JOIN flow o ON o.id = f.ds) f")
@@ -1112,11 +1112,9 @@ def f_2d_box(s, d):
 @query()
 def f_pools(s, d):
     n = i.side(s, d)
-    low = i.cells(s, d).where("z - floor(z) < 0.15")
-    links = terrain.neighbours(low.select("id", "r", "c", "z"), n, SIZE).join(low.select(F.col("id").alias("nid")), "nid").select("id", F.col("nid").alias("other"))
+    low = cut(i.cells(s, d).where("z - floor(z) < 0.15"))
+    links = cut(terrain.neighbours(low.select("id", "r", "c", "z"), n, SIZE).join(low.select(F.col("id").alias("nid")), "nid").select("id", F.col("nid").alias("other")))
     now = low.select("id", F.col("id").alias("pool"))
-    from tarnflow.plans.store import cut
-
     while True:
         least = links.join(now.select(F.col("id").alias("other"), F.col("pool").alias("p")), "other").groupBy("id").agg(F.min("p").alias("p"))
         new = now.join(least, "id", "left").select("id", F.least("pool", "p").alias("pool"), F.col("pool").alias("was"))
