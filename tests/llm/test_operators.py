@@ -713,6 +713,57 @@ def test_wand_finds_what_a_full_scan_finds():
         assert set(found) == {k for k, s in scores.items() if s >= 0.5}
 
 
+def brute_contamination(texts, items):
+    """(document, item) and the best (score, overlaps) over all passages, by BM25 over every item and plain sets of five words."""
+    split = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), re.sub(r"[!-/:-@\\[-`{-~]", " ", t or "")).split()
+    words = {i: split(t) for i, t in items.items() if split(t)}
+    n, average = len(words), sum(map(len, words.values())) / len(words)
+    frequency = Counter(w for x in words.values() for w in set(x))
+    order = sorted(words, key=lambda i: (len(words[i]), i))
+    span = {i: max(len(words[j]) for j in order[k - k % decontamination.BLOCK :][: decontamination.BLOCK]) for k, i in enumerate(order)}
+    runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    found = {}
+    for d, text in texts.items():
+        own = split(text)
+        for i, w in words.items():
+            if not set(w) & set(own):
+                continue
+            impact = {t: math.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(w) / average)) for t, c in Counter(w).items()}
+            k, cells, whole = min(5, len(w)), -(-(span[i] - 1) // 16) + 1, sum(impact.values())
+            cut = len(split(items[i][: decontamination.answer_begins(items[i])]))
+            every = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)]
+            asks = max(0, cut - k + 1) if cut else len(every)
+            for begin in range(0, len(own), 16):
+                part = own[begin : begin + 16 * cells]
+                score = sum(impact[t] for t in set(part) & set(impact)) / whole
+                if score >= 0.5 - 1e-9:
+                    held = runs(part, k)
+                    q, a = (len(x & held) / len(x) if x else 1.0 for x in (set(every[:asks]), set(every[asks:])))
+                    if q >= 0.8 and a >= 0.8:
+                        found[d, i] = max(found.get((d, i), (0, 0, 0)), (score, q, a))
+    return found
+
+
+def test_contaminated_against_brute_force(spark):
+    """Whole, changed, cut, split and padded copies of items at the limits of both thresholds."""
+    draw = random.Random(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = {k: " ".join(draw.choices(vocabulary, k=draw.randint(3, 40))) + draw.choice(["? ", ". "]) + " ".join(draw.choices(vocabulary, k=draw.randint(0, 12))) for k in range(60)}
+    texts = {}
+    for d in range(150):
+        w = items[draw.randrange(60)].split()
+        for _ in range(draw.choice((0, 0, 1, 1, 2, 4))):
+            w[draw.randrange(len(w))] = draw.choice(vocabulary)
+        w = w[draw.choice((0, 0, 0, 2, 6)) :]
+        texts[d] = " ".join(draw.choices(vocabulary, k=draw.randint(0, 60)) + w + draw.choices(vocabulary, k=draw.randint(0, 60)))
+    want = brute_contamination(texts, items)
+    rows = decontamination.contaminated(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string"), spark.createDataFrame(list(items.items()), "item_id bigint, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]): (r["score"], r["question_overlap"], r["answer_overlap"]) for r in rows}
+    assert len(want) > 60 and sorted(found) == sorted(want)
+    for k, v in want.items():
+        assert found[k] == pytest.approx(v, abs=1e-6)
+
+
 def test_contaminated_odd_rows(spark, odd, none):
     items = spark.createDataFrame([(1, "one two three four"), (2, None), (3, ""), (4, "never seen at all by anyone"), (5, "one")], "item_id bigint, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(odd, items).collect()} >= {(5, 1), (4, 5), (5, 5)}
