@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -64,6 +65,35 @@ def test_edit_distance(a, b):
     assert fingerprints.edits(a, b) == slow_edits(a, b)
 
 
+def slow_fingerprint(text):
+    """Byte by byte: the hash of the last seven bytes decides where a piece ends."""
+    def signed(block):
+        letters, begin, window = [], 0, [0] * 7
+        for k, byte in enumerate(text):
+            window = [byte + 1, *window[:6]]
+            h = sum(x * 0x01000193**j for j, x in enumerate(window)) % 2**32
+            h ^= h >> 15
+            h = h * 0x2C1B3C6D % 2**32
+            h ^= h >> 13
+            if h % block == block - 1 and len(letters) < 63:
+                letters.append(fingerprints.ALPHABET[xxhash.xxh32_intdigest(bytes(text[begin : k + 1])) % 64])
+                begin = k + 1
+        return "".join(letters) + (fingerprints.ALPHABET[xxhash.xxh32_intdigest(bytes(text[begin:])) % 64] if begin < len(text) else "")
+
+    block = 3
+    while block * 64 < len(text):
+        block *= 2
+    while block > 3 and len(signed(block)) < 32:
+        block //= 2
+    return f"{block}:{signed(block)}:{signed(2 * block)}" if text else "3::"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=300), st.integers(1, 12))
+def test_fingerprints_byte_by_byte(data, repeat):
+    assert fingerprints.fingerprint(data * repeat) == slow_fingerprint(data * repeat)
+
+
 def test_fingerprints(docs, texts):
     rows = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
     order = sorted(texts)
