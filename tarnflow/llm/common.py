@@ -65,13 +65,18 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     where = new_dir(spark, label)
     df.write.option("compression", "zstd").parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
-
-
-def deleted(spark: SparkSession, uri: str) -> None:
-    """Removes a folder of the shared file system through Spark's own file system."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    table = spark.read.schema(df.schema).parquet(where)
+    table.written_to = where
+    return table
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Removes written tables that nothing will read again, through Spark's own file system; what is no written table stays."""
+    for table in tables:
+        if where := getattr(table, "written_to", None):
+            spark = table.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_once(uri: str, chunks: Iterator[bytes]) -> None:

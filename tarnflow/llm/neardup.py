@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnflow.llm.common import LOWER, batches, mix64, slices, text_buffer, word_hashes, word_spans, written
+from tarnflow.llm.common import LOWER, batches, deleted, mix64, slices, text_buffer, word_hashes, word_spans, written
 from tarnflow.llm.graphs import components
 
 #: Coordinates of a band and bands of a sketch.
@@ -333,8 +333,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, rows: in
         chosen = written(chosen, "chosen")
         if chosen.isEmpty():
             break
-        labels = _relabelled(labels, _confirmed(chosen, sets, percent))
-        left = written(_open(left.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), labels), "open")
+        links = _confirmed(chosen, sets, percent)
+        before, labels = labels, _relabelled(labels, links)
+        tried, left = left, written(_open(left.join(chosen.select("a", "b"), ["a", "b"], "left_anti"), labels), "open")
+        deleted(before, links, chosen, tried)
     labels = _crossed(shared_keys, labels, sets, percent, rows * bands)
     found = classes.select("n", "set_a", "set_b", "id").join(labels, "id", "left").select("n", "set_a", "set_b", F.coalesce("component", "id").alias("component"))
     return (
