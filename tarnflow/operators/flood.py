@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnflow.operators import tree
+from tarnflow.plans.store import cut
 
 
 def nearest_drain(net: DataFrame) -> DataFrame:
@@ -106,3 +109,72 @@ def matched(fine: DataFrame, coarse: DataFrame, tile: int, radius: float, ratio:
     near = met.where((F.pow(F.col("x") - F.col("ox"), F.lit(2)) + F.pow(F.col("y") - F.col("oy"), F.lit(2)) <= radius**2) & (F.abs(F.ln(F.col("a") / F.col("oa"))) <= F.ln(F.lit(ratio))))
     best = near.groupBy("id").agg(F.min(F.struct(F.abs(F.ln(F.col("a") / F.col("oa"))).alias("gap"), "other")).alias("m"))
     return fine.select("id").join(best, "id", "left").select("id", F.col("m.other").alias("other"))
+
+
+def joined_up(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number reachable from each of 0 to n - 1 over links a-b.
+
+    Each round every point with links goes to its smallest neighbour, which leaves no cycles but pairs,
+    and what has met is one point: points with links halve at least.
+    """
+    label = np.arange(n)
+    while len(a):
+        to = np.full(n, n)
+        np.minimum.at(to, a, b)
+        np.minimum.at(to, b, a)
+        own = np.arange(n)
+        to = np.where(to == n, own, to)
+        to = np.where((to[to] == own) & (own < to), own, to)
+        while (to[to] != to).any():
+            to = to[to]
+        label, a, b = to[label], to[a], to[b]
+        a, b = a[a != b], b[a != b]
+    least = np.full(n, n)
+    np.minimum.at(least, label, np.arange(n))
+    return least[label]
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """id and pool (the smallest id reachable) of every id in links (a, b): large and small stars in turn, in a number of rounds that grows with the logarithm of a pool's size."""
+    now, before = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+    while True:
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = both.join(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        now = cut(small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*").where("a <> b").distinct())
+        mark = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if mark == before:
+            return now.select(F.col("a").alias("id"), F.col("b").alias("pool")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("pool")).distinct())
+        before = mark
+
+
+def pools(cells: DataFrame, tile: int = 256) -> DataFrame:
+    """pool (its smallest id) and number of cells (id, r, c) of each group of cells that touch at sides or corners.
+
+    Tiles are joined up on their own; only links between cells on the rims of neighbours are exchanged,
+    and what meets across rims is found on the tiles' groups, not on cells.
+    """
+    keyed = cells.select("id", "r", "c", F.floor(F.col("r") / tile).cast("bigint").alias("tr"), F.floor(F.col("c") / tile).cast("bigint").alias("tc"))
+
+    def join_up(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        r, c = (rows["r"] - key[0] * tile).to_numpy(), (rows["c"] - key[1] * tile).to_numpy()
+        spot = np.full((tile + 1, tile + 2), -1)  # nothing around: to the left is the last column
+        ids = rows["id"].to_numpy()
+        order = np.lexsort((-ids, r * tile + c))
+        spot[r[order], c[order]] = order
+        one = spot[r, c]
+        # each row with the one that stands for its cell, and with the cells ahead of it
+        a, b = np.tile(np.arange(len(ids)), 5), np.concatenate([one, *(spot[r + i, c + j] for i, j in ((0, 1), (1, -1), (1, 0), (1, 1)))])
+        met = joined_up(len(ids), a[(b >= 0) & (a != b)], b[(b >= 0) & (a != b)])
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, met, ids)
+        rim = (r == 0) | (r == tile - 1) | (c == 0) | (c == tile - 1)
+        return pd.DataFrame({"id": ids, "r": rows["r"], "c": rows["c"], "part": least[met], "rim": rim})
+
+    parts = cut(keyed.groupBy("tr", "tc").applyInPandas(join_up, "id bigint, r bigint, c bigint, part bigint, rim boolean"))
+    rims = parts.where("rim").select("r", "c", "part")
+    ahead = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("k")
+    aimed = rims.select("r", "c", F.col("part").alias("a"), ahead).select((F.col("r") + F.col("k.i")).alias("r"), (F.col("c") + F.col("k.j")).alias("c"), "a")
+    links = aimed.join(rims.select("r", "c", F.col("part").alias("b")), ["r", "c"]).select("a", "b")
+    sizes = parts.groupBy(F.col("part").alias("id")).agg(F.count(F.lit(1)).alias("cells"))
+    return sizes.join(stars(links), "id", "left").groupBy(F.coalesce("pool", "id").alias("pool")).agg(F.sum("cells").alias("cells"))

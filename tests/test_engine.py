@@ -285,3 +285,31 @@ def test_nearest_scene_with_large_numbers(spark):
     rows = [(1, 4.0, 3, 2_500_000), (1, 2.0, 4, 10), (2, 1.0, None, 5), (2, 3.0, 9, 6), (3, 7.0, None, 8)]
     found = runoff.nearest_scene(spark.createDataFrame(rows, "pixel bigint, value double, gap int, scene bigint")).collect()
     assert {r["pixel"]: (r["composite"], r["nearest"]) for r in found} == {1: (3.0, 10), 2: (2.0, 6), 3: (7.0, None)}
+
+
+def test_pools_against_a_search(spark, monkeypatch):
+    """Pools over many tiles, with winding ones that need many hops, in few written rounds."""
+    draw = np.random.default_rng(5)
+    n = 60
+    wet = draw.random((n, n)) < 0.38
+    wet[::2, :] = np.where(np.arange(n) < 30, True, wet[::2, :])  # a snake through the left half
+    wet[1::2, :30] = False
+    wet[1::4, 29], wet[3::4, 0] = True, True
+    left, want = {(int(r), int(c)) for r, c in zip(*np.nonzero(wet))}, {}
+    while left:
+        stack = [left.pop()]
+        found = [*stack]
+        while stack:
+            r, c = stack.pop()
+            for x in [(r + i, c + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                if x in left:
+                    left.remove(x)
+                    stack.append(x)
+                    found.append(x)
+        want[min(r * n + c for r, c in found)] = len(found)
+    rounds, cut = [], flood.cut
+    monkeypatch.setattr(flood, "cut", lambda df: rounds.append(1) or cut(df))
+    rows = spark.createDataFrame([(int(r * n + c), int(r), int(c)) for r, c in zip(*np.nonzero(wet))], "id bigint, r bigint, c bigint")
+    assert {r["pool"]: r["cells"] for r in flood.pools(rows, 7).collect()} == want
+    assert len(rounds) <= 14
+    assert flood.pools(rows.limit(0)).count() == 0
