@@ -313,3 +313,22 @@ def test_pools_against_a_search(spark, monkeypatch):
     assert {r["pool"]: r["cells"] for r in flood.pools(rows, 7).collect()} == want
     assert len(rounds) <= 14
     assert flood.pools(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("every", [1, 7, 10])
+def test_muskingum_waves_against_level_by_level(every, monkeypatch):
+    """All levels at a time, each a step behind the one above, give what one level after the other gives."""
+    draw = np.random.default_rng(every)
+    n = 300
+    ds = [float(draw.integers(k + 1, min(k + 9, n))) if k < n - 1 and draw.random() < 0.97 else None for k in range(n)]
+    cells = pd.DataFrame({"id": np.arange(n), "ds": pd.array(ds, "Float64"), "z": 0.0, "slope": draw.uniform(0.001, 0.1, n), "dist": 30.0, "n": 0.05})
+    cells = cells.sample(frac=1.0, random_state=1).reset_index(drop=True)
+    rain = np.array([5e-5] * 20 + [0.0])
+    turns = []
+    monkeypatch.setattr(kernels, "_levels", lambda down: turns.append(1) or [])
+    found = kernels.route(cells, rain, 4.0, 70, every, "muskingum")
+    assert not turns
+    monkeypatch.undo()
+    monkeypatch.setattr(kernels, "by_hops", lambda down: [])
+    want = kernels.route(cells, rain, 4.0, 70, every, "muskingum")
+    assert len(want) == 70 // every and np.allclose(found, want, rtol=1e-11, atol=1e-12)
