@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnflow.plans.store import cut
+
 #: Gauges up to this many are broadcast to the cells; more are met through tiles.
 FEW_GAUGES = 1_000
+#: Values of gauges that are broadcast at a time.
+TIMES = 1_000_000
 
 
 def rates(series: DataFrame) -> DataFrame:
@@ -53,13 +59,43 @@ def nearest_of_many(cells: DataFrame, points: DataFrame) -> DataFrame:
     return _with_gauges(cells, points).select("id", F.explode("g").alias("g")).groupBy("g.gauge_id").agg(near).select("gauge_id", F.col("m.id").alias("cell"))
 
 
-def idw(cells: DataFrame, gauges: DataFrame, power: float = 2.0) -> DataFrame:
-    """id, gauge and weight by inverse distance; a gauge on the spot has all. Weights are made within each row."""
+def _weighed(cells: DataFrame, gauges: DataFrame, power: float) -> DataFrame:
+    """id and array ``w`` of (gauge_id, raw) with the total of raw weights, made within each row; a gauge on the spot has all."""
     hit = F.exists("g", lambda g: g["d2"] == 0)
     raw = F.transform("g", lambda g: F.struct(g["gauge_id"].alias("gauge_id"), F.when(F.col("hit"), (g["d2"] == 0).cast("double")).otherwise(F.pow(g["d2"], F.lit(-power / 2))).alias("raw")))
     weighed = _with_gauges(cells, gauges).withColumn("hit", hit).select("id", raw.alias("w"))
-    total = F.aggregate("w", F.lit(0.0), lambda t, x: t + x["raw"])
-    return weighed.withColumn("total", total).select("id", F.inline("w"), "total").select("id", "gauge_id", (F.col("raw") / F.col("total")).alias("w"))
+    return weighed.withColumn("total", F.aggregate("w", F.lit(0.0), lambda t, x: t + x["raw"]))
+
+
+def idw(cells: DataFrame, gauges: DataFrame, power: float = 2.0) -> DataFrame:
+    """id, gauge and weight by inverse distance; a gauge on the spot has all. Weights are made within each row."""
+    return _weighed(cells, gauges, power).select("id", F.inline("w"), "total").select("id", "gauge_id", (F.col("raw") / F.col("total")).alias("w"))
+
+
+def idw_field(cells: DataFrame, gauges: DataFrame, rates_: DataFrame, power: float = 2.0) -> DataFrame:
+    """``field`` of the weights of ``idw``, without an exchange of cells: each row of a cell meets all gauges' rates of a time in one row (gauge_id, t, value).
+
+    Rows of times are broadcast, ``TIMES`` values at a time; more take more passes over the cells.
+    """
+    order = [r["gauge_id"] for r in gauges.select("gauge_id").sort("gauge_id").limit(FEW_GAUGES + 1).collect()]  # _with_gauges refuses more
+    known = {g: k for k, g in reversed(list(enumerate(order)))}
+    one = rates_.where(F.col("gauge_id").isin(list(known))).groupBy("t", "gauge_id").agg(F.sum("value").alias("value"))
+    lines = one.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("gauge_id", "value"))).alias("m"))
+    times = cut(lines.select("t", F.transform(F.array(*map(F.lit, order)).cast("array<bigint>"), lambda g: F.try_element_at(F.col("m"), g)).alias("v")))
+    held = _weighed(cells, gauges, power).select("id", F.transform("w", lambda x: x["raw"] / F.col("total")).alias("w"))
+    terms = [F.get("w", F.lit(k)) * F.get("v", F.lit(k)) for k in range(len(order))]
+    some = F.exists("v", lambda v: v.isNotNull())
+    passes = max(1, -(-times.count() * len(order) // TIMES))
+    parts = [held.join(F.broadcast(times.where(F.pmod(F.xxhash64("t"), F.lit(passes)) == k).withColumn("some", some))) for k in range(passes)]
+    rate = F.when(F.col("some"), _sum([F.coalesce(x, F.lit(0.0)) for x in terms])).alias("rate")
+    return reduce(DataFrame.unionAll, [p.select("id", "t", rate) for p in parts])
+
+
+def _sum(terms: list[Column]) -> Column:
+    """The terms' sum as a tree of little depth."""
+    while len(terms) > 1:
+        terms = [a + b for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2 :]
+    return terms[0] if terms else F.lit(None).cast("double")
 
 
 def inside(gauges: DataFrame, cells: DataFrame, size: float) -> DataFrame:

@@ -417,9 +417,8 @@ def r_raster(s, d):
 
 @query(f"WITH {CELLS}, {GAUGES}, {_IDW}, {RAIN} SELECT id, time_s AS t, {R('sum(w * rate) * 1e6 AS rate')} FROM idw JOIN rates USING (gauge_id) GROUP BY ALL")
 def p_field(s, d):
-    weights = rain.idw(i.cells(s, d), i.gauges(s, d))
     rates = i.rates(s, d).select("gauge_id", F.col("time_s").alias("t"), F.col("rate").alias("value"))
-    return rain.field(weights, rates).select("id", "t", F.round(F.col("rate") * 1e6, 6).alias("rate"))
+    return rain.idw_field(i.cells(s, d), i.gauges(s, d), rates).select("id", "t", F.round(F.col("rate") * 1e6, 6).alias("rate"))
 
 
 @query(f"WITH {CELLS} SELECT r, c, {R('CASE WHEN id % 3 = 0 THEN z END AS z')} FROM cells")

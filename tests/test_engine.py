@@ -332,3 +332,23 @@ def test_muskingum_waves_against_level_by_level(every, monkeypatch):
     monkeypatch.setattr(kernels, "by_hops", lambda down: [])
     want = kernels.route(cells, rain, 4.0, 70, every, "muskingum")
     assert len(want) == 70 // every and np.allclose(found, want, rtol=1e-11, atol=1e-12)
+
+
+def test_field_without_an_exchange_of_cells(spark, monkeypatch):
+    """Rates in each cell's row are those of joined weights, in one pass or many; gauges without a rate, and times without a gauge, count as in the join."""
+    draw = random.Random(3)
+    cells = spark.createDataFrame([(k, draw.uniform(0, 99), draw.uniform(0, 99)) for k in range(50)] + [(50, 7.0, 7.0)], "id bigint, x double, y double")
+    gauges = spark.createDataFrame([(5, 7.0, 7.0), (2, 50.0, 60.0), (9, 80.0, 10.0)], "gauge_id bigint, x double, y double")
+    rates = [(g, float(t), draw.random()) for g in (2, 5, 9, 11) for t in range(8) if (g + t) % 3] + [(11, 99.0, 1.0), (2, 50.0, None), (2, 3.0, 0.5)]
+    series = spark.createDataFrame(rates, "gauge_id bigint, t double, value double")
+    plain = lambda rows: {(r["id"], r["t"]): -1.0 if r["rate"] is None else r["rate"] for r in rows}
+    want = plain(rain.field(rain.idw(cells, gauges), series).collect())
+    for most in (1_000_000, 6):
+        monkeypatch.setattr(rain, "TIMES", most)
+        found = rain.idw_field(cells, gauges, series)
+        rows = found.collect()
+        assert len(rows) == len(want)
+        assert plain(rows) == pytest.approx(want, rel=1e-12)
+    assert rain.idw_field(cells, gauges.limit(0), series).isEmpty()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Aggregate(keys=[id" not in plan
