@@ -823,3 +823,12 @@ def test_archives_of_odd_pages(spark):
 def test_archive_begins_with_its_dictionary():
     data = archives.head_frame(b"abc") + b""
     assert data[:4] == (0x184D2A5D).to_bytes(4, "little") and list(archives.Archive(io.BytesIO(data))) == []
+
+
+def test_pair_scores_are_exchanged_as_they_come(spark):
+    """Lines of pairs leave a task one by one: no sum by block holds them beside the workers' arrays."""
+    docs = spark.createDataFrame([(k, f"a b c d{k}") for k in range(20)], "doc_id bigint, text string")
+    blocks = mixing.written(docs.mapInArrow(mixing._blocks, mixing.BLOCK_SCHEMA), "blocks")
+    with mixing.rows_by_one(spark):
+        plan = mixing._scores_of(blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
