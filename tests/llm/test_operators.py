@@ -525,6 +525,54 @@ def test_weights_are_fitted_to_a_share_of_the_words_before(docs, texts, monkeypa
     assert times == sum(tokens) and 0.2 * times < mixing.FIT * chosen < 5 * times and 0.2 * decisions < mixing.FIT * seen < 5 * decisions
 
 
+def test_weights_are_fitted_to_every_training_pair(docs, monkeypatch):
+    given, sums = [], mixing.fitted
+
+    def fitted(pairs, tables, code):
+        weight, seen = sums(pairs, tables, code)
+        rows = [r.asDict() for r in pairs.collect()]
+        given.append((sum(int(mixing.unpacked(r)[3].sum()) for r in rows), sum(int(mixing.fit_part(r)[3].sum()) for r in rows), int(tables.n[0].sum()), seen.sum()))
+        return weight, seen
+
+    monkeypatch.setattr(mixing, "fitted", fitted)
+    mixing.scores(docs).collect()
+    (times, summed, decisions, seen), = given
+    assert summed == times and seen == decisions
+
+
+def test_fit_sums_are_those_of_every_decision():
+    """Decision by decision of every pair, with its own occurrence left out of all counts."""
+    draw = random.Random(8)
+    words = sorted({"".join(draw.choice("abcd") for _ in range(draw.randint(1, 11))).encode() for _ in range(120)}, key=lambda w: int(mixing.hashes_of(w, False)[0]))
+    spelled = b" ".join(words)
+    vocabulary = mixing.vocabulary_of(spelled)
+    spelled = b" ".join(b"" if h == mixing._END else words[k - int(h > mixing._END)] for k, h in enumerate(vocabulary))
+    pairs = sorted({(draw.randrange(5) ** 2, draw.randrange(len(vocabulary))) for _ in range(300)})
+    before, word = (np.array(x) for x in zip(*pairs))
+    times = np.array([draw.choice((1, 1, 1, 2, 7)) for _ in pairs])
+    frequency = np.zeros(258)
+    frequency[[*b"abcd", mixing.CLOSE, mixing.STOP]] = [50, 40, 30, 20, 60, 5]
+    code, tables = mixing.Code(frequency), mixing.Tables()
+    tables.learn(vocabulary, spelled, np.bincount(word, weights=times, minlength=len(vocabulary)).astype(np.int64), code)
+    weight = np.random.default_rng(3).normal(0.2, 0.1, mixing.first_weights().shape)
+    found = mixing.fit_sums(mixing.LeftOut(tables), code, weight, spelled, before, word, times)
+
+    spelling = mixing.Spelling(vocabulary, spelled, code)
+    index = mixing.spread(spelling.first[word], spelling.size[word])
+    bit, each = spelling.bit[index], np.repeat(times, spelling.size[word])
+    counts = [(n[0][s[index]], n[1][s[index]]) for n, s in zip(tables.n, spelling.slots)]
+    counts.append(mixing.pair_counts(spelling.rest[index], np.repeat(before, spelling.size[word]), bit, each))
+    counts = [(a - (bit == 0), b - (bit == 1)) for a, b in counts]
+    x = np.stack([*(np.clip(np.log((b + 0.4) / (a + 0.4)), -9, 9) for a, b in counts), np.ones(len(bit))], axis=1)
+    gate = mixing.level(sum(counts[4])).astype(int) * mixing.LEVELS + mixing.level(sum(counts[3]))
+    p = 1 / (1 + np.exp(-(weight[gate] * x).sum(axis=1)))
+    gradient, curve = np.zeros_like(weight), np.zeros((*weight.shape, weight.shape[1]))
+    np.add.at(gradient, gate, (each * (bit - p))[:, None] * x)
+    np.add.at(curve, gate, (each * p * (1 - p))[:, None, None] * x[:, :, None] * x[:, None, :])
+    assert len(set(gate)) > 5 and found[0] == pytest.approx(gradient, rel=1e-4, abs=1e-3) and found[1] == pytest.approx(curve, rel=1e-4, abs=1e-3)
+    assert found[2].sum() == each.sum() and (found[2].sum(axis=2) == [[each[(bit == b) & (spelling.node[index] == n)].sum() for n in range(len(code.size))] for b in (0, 1)]).all()
+
+
 def test_documents_that_occur_twice_score_higher(spark, docs):
     """Leaving out a pair's own count tells what has been seen elsewhere from what has not."""
     doubled = docs.where("doc_id % 9 = 0").withColumn("doc_id", F.col("doc_id") + 100_000)
