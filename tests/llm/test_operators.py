@@ -573,6 +573,38 @@ def test_fit_sums_are_those_of_every_decision():
     assert found[2].sum() == each.sum() and (found[2].sum(axis=2) == [[each[(bit == b) & (spelling.node[index] == n)].sum() for n in range(len(code.size))] for b in (0, 1)]).all()
 
 
+def test_what_follows_a_frequent_word_is_worked_on_in_parts(monkeypatch):
+    draw = random.Random(9)
+    words = sorted({"".join(draw.choice("abc") for _ in range(draw.randint(1, 9))).encode() for _ in range(900)}, key=lambda w: int(mixing.hashes_of(w, False)[0]))
+    vocabulary = mixing.vocabulary_of(b" ".join(words))
+    spelled = b" ".join(b"" if h == mixing._END else words[k - int(h > mixing._END)] for k, h in enumerate(vocabulary))
+    pairs = sorted({(b, w) for b in range(4) for w in range(len(vocabulary)) if b == 2 or draw.random() < 0.02})
+    before, word = (np.array(x) for x in zip(*pairs))
+    times = np.array([draw.choice((0, 1, 1, 2, 7)) for _ in pairs])
+    frequency = np.zeros(258)
+    frequency[[*b"abc", mixing.CLOSE, mixing.STOP]] = [50, 40, 30, 60, 5]
+    code, tables = mixing.Code(frequency), mixing.Tables()
+    tables.learn(vocabulary, spelled, np.bincount(word, weights=times, minlength=len(vocabulary)).astype(np.int64), code)
+    mine = times > 0
+
+    def found():
+        scores = mixing.Mixer(tables, code).pair_scores(vocabulary, spelled, before, word, times)
+        return scores, *mixing.fit_sums(mixing.LeftOut(tables), code, mixing.first_weights(), spelled, before[mine], word[mine], times[mine])
+
+    whole, sizes, runs = found(), [], mixing.counted_runs
+
+    def counted_runs(*given):
+        for some, index, n0, n1 in runs(*given):
+            sizes.append(len(index))
+            yield some, index, n0, n1
+
+    monkeypatch.setattr(mixing, "CHUNK", 500)
+    monkeypatch.setattr(mixing, "counted_runs", counted_runs)
+    for a, b in zip(whole, found()):
+        assert a == pytest.approx(b, rel=1e-9, abs=1e-9)
+    assert sum(sizes) > 10_000 and max(sizes) < 2_000
+
+
 def test_documents_that_occur_twice_score_higher(spark, docs):
     """Leaving out a pair's own count tells what has been seen elsewhere from what has not."""
     doubled = docs.where("doc_id % 9 = 0").withColumn("doc_id", F.col("doc_id") + 100_000)
