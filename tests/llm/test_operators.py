@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -605,6 +606,28 @@ def test_what_follows_a_frequent_word_is_worked_on_in_parts(monkeypatch):
     assert sum(sizes) > 10_000 and max(sizes) < 2_000
 
 
+def test_files_of_finished_shuffles_are_removed(spark, docs, monkeypatch):
+    """Those of words and pairs are; one of the small sums may be held by the session."""
+
+    def shuffles():
+        blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {name.split("_")[1] for k in range(blocks.size()) if (name := blocks.apply(k).toString()).startswith("shuffle_")}
+
+    left, before, sweep = [], shuffles(), mixing.swept
+
+    def swept(session):
+        sweep(session)
+        until = time.time() + 20
+        while len(more := shuffles() - before) > 1 and time.time() < until:
+            time.sleep(0.2)
+        left.append(len(more))
+
+    monkeypatch.setattr(mixing, "swept", swept)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    assert mixing.scores(docs).count() == docs.count() and left[0] <= 1 and spark.conf.get(name, None) == was
+
+
 def test_documents_that_occur_twice_score_higher(spark, docs):
     """Leaving out a pair's own count tells what has been seen elsewhere from what has not."""
     doubled = docs.where("doc_id % 9 = 0").withColumn("doc_id", F.col("doc_id") + 100_000)
