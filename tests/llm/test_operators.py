@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -935,3 +936,79 @@ def test_pair_scores_are_exchanged_as_they_come(spark):
     with mixing.rows_by_one(spark):
         plan = mixing._scores_of(blocks)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan
+
+
+def test_numbers_that_are_sent_come_back():
+    draw = np.random.default_rng(4)
+    for n in (0, 1, 1000):
+        for a in (draw.integers(0, 2**63, n).astype(np.uint64), draw.integers(0, 2**32, n).astype(np.uint32), draw.normal(size=n).astype(np.float32), draw.integers(-9, 9, n)):
+            assert (mixing.unplaned(mixing.planes(a), a.dtype.type) == a).all()
+        assert (mixing.unstepped(mixing.steps(a % 1000)) == a % 1000).all()
+
+
+def test_blocks_get_the_scores_that_their_texts_need(spark):
+    """A pair's score as of a training text goes to blocks that have it in one, and that as of a held-out text likewise."""
+    docs = [(k, f"a b c d{k % 5} e f{k}") for k in range(40)]
+    pairs = [set(), set()]
+    for k, text in docs:
+        words = [*text.split(), None]
+        pairs[mixing.is_held_out(k)].update(zip(["", *words], words))
+    blocks = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).mapInArrow(mixing._blocks, mixing.BLOCK_SCHEMA)
+    lines = blocks.select("block", "ids", "sizes", "tokens", "spelled").mapInArrow(mixing._pair_lines(3), "shard bigint, block bigint, data binary")
+    table = lines.groupBy("shard").applyInArrow(mixing._pair_sums, mixing.PAIR_SCHEMA).toArrow()
+    assert sum(table["tokens"].to_pylist()) == sum(len(t.split()) + 1 for k, t in docs if not mixing.is_held_out(k))
+
+    class Shared:
+        value = mixing.Mixer(mixing.Tables(), mixing.Code(np.ones(258)))
+
+    unpack, sent = zstandard.ZstdDecompressor(), [0, 0]
+    for batch in mixing._pair_scores(Shared)(iter(table.to_batches(1))):
+        for kind, name in enumerate(("spelt", "held")):
+            scores = mixing.unplaned(unpack.decompress(batch[name][0].as_py()), np.float32)
+            sent[kind] += len(scores)
+            assert (scores < 0).all()
+    assert sent == [len(pairs[0]), len(pairs[1])] and 0 < sent[1] < sent[0]
+
+
+def test_all_shards_are_passed_over_once(docs, monkeypatch):
+    """The first shards only say where the step over all pairs begins."""
+    walks, given, lines, sums = [], [], mixing._fit_lines, mixing.fitted
+
+    def fit_lines(shared, code, weight):
+        walks.append(weight)
+        return lines(shared, code, weight)
+
+    def fitted(pairs, tables, code):
+        weight, seen = sums(pairs, tables, code)
+        given.append((int(tables.n[0].sum()), seen.sum(), weight))
+        return weight, seen
+
+    whole = {r["doc_id"]: r["score"] for r in mixing.scores(docs).collect()}
+    monkeypatch.setattr(mixing, "START", 1)
+    monkeypatch.setattr(mixing, "_fit_lines", fit_lines)
+    monkeypatch.setattr(mixing, "fitted", fitted)
+    found = {r["doc_id"]: r["score"] for r in mixing.scores(docs).collect()}
+    (decisions, seen, weight), = given
+    assert len(walks) == mixing.ROUNDS + 1 and seen == decisions and (weight != walks[-1]).any()
+    assert sum(found.values()) == pytest.approx(sum(whole.values()), rel=0.01)
+
+
+def test_what_pairs_have_in_common_is_worked_on_once():
+    draw = random.Random(10)
+    words = sorted({"".join(draw.choice("ab\0c") for _ in range(draw.randint(1, 12))).encode() for _ in range(300)}, key=lambda w: int(mixing.hashes_of(w, False)[0]))
+    vocabulary = mixing.vocabulary_of(b" ".join(words))
+    spelled = b" ".join(b"" if h == mixing._END else words[k - int(h > mixing._END)] for k, h in enumerate(vocabulary))
+    pairs = sorted({(b, w) for b in range(6) for w in range(len(vocabulary)) if b == 2 or draw.random() < 0.2})
+    before, word = (np.array(x) for x in zip(*pairs))
+    times, code = np.array([draw.choice((0, 1, 1, 3)) for _ in pairs]), mixing.Code(np.ones(258))
+    known = mixing.Words(vocabulary, spelled, code, word)
+    order, last, depth = known.followed(before, times > 1)
+    rest, bit = np.empty(known.total, np.uint32), np.empty(known.total, np.uint8)
+    for here, spelling in known.spellings(code, mixing.BITS):
+        rest[here], bit[here] = spelling.rest, spelling.bit
+    found = []
+    for shared in (True, False):
+        paths = known.paths(order, before, last, shared)
+        zeros, ones = mixing.pair_counts(rest[paths.index], paths.before, bit[paths.index], paths.times(times))
+        found.append((len(paths.index), paths.times(times).sum(), paths.sums(zeros + 3 * ones + bit[paths.index])))
+    assert found[1][0] == depth.sum() and found[0][0] < 0.7 * found[1][0] and found[0][1] == found[1][1] and (found[0][2] == found[1][2]).all()
