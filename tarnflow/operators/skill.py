@@ -40,8 +40,19 @@ def effects(runs: DataFrame, factors: list[str], value: str) -> DataFrame:
     return means.withColumn("span", F.max("mean").over(w) - F.min("mean").over(w))
 
 
-def dominant(parts: DataFrame) -> DataFrame:
-    """The mechanism of the largest total of each cell (id, imperv, dunne, horton), ties to the first, -1 where all are dry."""
-    sums = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("imperv", "dunne", "horton")])
-    top = F.greatest("imperv", "dunne", "horton")
+def dominant(parts: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """The mechanism of the largest total of each cell (id, imperv, dunne, horton), ties to the first, -1 where all are dry.
+
+    Sums of doubles depend on the order of their terms, and so do ties: with ``order`` a cell's rows are
+    added one after the other by these columns, however the table is split.
+    """
+    kinds = ("imperv", "dunne", "horton")
+    if order:
+        w = W.partitionBy("id").orderBy(*order)
+        upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+        summed = parts.select("id", *[F.sum(c).over(upto).alias(c) for c in kinds], F.lead(F.lit(True)).over(w).isNull().alias("last"))
+        sums = summed.where("last").drop("last")
+    else:
+        sums = parts.groupBy("id").agg(*[F.sum(c).alias(c) for c in kinds])
+    top = F.greatest(*kinds)
     return sums.select("id", F.when(top <= 0, -1).when(F.col("imperv") == top, 0).when(F.col("dunne") == top, 1).otherwise(2).alias("mechanism"))

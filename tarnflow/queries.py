@@ -1175,8 +1175,9 @@ def m_effects(s, d):
 
 @query("WITH p AS (SELECT l_orderkey AS id, sum(l_quantity * 10) AS a, sum(l_extendedprice / 150) AS b, sum(l_tax * 5000) AS c FROM lineitem GROUP BY 1) SELECT id, CASE WHEN greatest(a, b, c) <= 0 THEN -1 WHEN a = greatest(a, b, c) THEN 0 WHEN b = greatest(a, b, c) THEN 1 ELSE 2 END AS mechanism FROM p")
 def m_dominant(s, d):
-    parts = i.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_quantity") * 10).alias("imperv"), (F.col("l_extendedprice") / 150).alias("dunne"), (F.col("l_tax") * 5000).alias("horton"))
-    return skill.dominant(parts)
+    """Lines are added in the order of the table, as one thread of SQL does; with more threads its sums, and exact ties with them, vary."""
+    parts = i.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_quantity") * 10).alias("imperv"), (F.col("l_extendedprice") / 150).alias("dunne"), (F.col("l_tax") * 5000).alias("horton"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return skill.dominant(parts, ["file", "row"])
 
 
 @query(f"WITH {_PAIRS} SELECT event, arg_max(t, mod) - arg_max(t, obs) AS lag_s, count(*) AS days FROM pairs GROUP BY event")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnflow.functions.formula import compiled
 from tarnflow.operators import flood, hydraulics, kernels, rain, runoff, skill, terrain, tree
 from tarnflow.plans.spec import ModelSpec
+from tarnflow.queries import ORACLES, QUERIES
 from tarnflow.sources import sinks, tables
 from tarnflow.streaming import rain as streams
 
@@ -352,3 +353,18 @@ def test_field_without_an_exchange_of_cells(spark, monkeypatch):
     assert rain.idw_field(cells, gauges.limit(0), series).isEmpty()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "Aggregate(keys=[id" not in plan
+
+
+def test_dominant_adds_in_the_order_of_the_table(spark, tmp_path):
+    """Totals that are equal but for rounding: the rows of an order lie in several files, and sums are those of SQL with one thread."""
+    duckdb = pytest.importorskip("duckdb")
+    draw = random.Random(1)
+    lines = [(k, 500.0 * tax, 1.0, tax) for k in range(300) for tax in draw.choices([0.01, 0.03, 0.06, 0.07, 0.08], k=9)]
+    draw.shuffle(lines)
+    (tmp_path / "lineitem.parquet").mkdir()
+    for f in range(8):
+        pd.DataFrame(lines[f::8], columns=["l_orderkey", "l_quantity", "l_extendedprice", "l_tax"]).to_parquet(tmp_path / f"lineitem.parquet/part-{f}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = by_id(QUERIES["m_dominant"](spark, str(tmp_path)), "mechanism")
+    assert found == dict(con.execute(ORACLES["m_dominant"]).fetchall()) and set(found.values()) == {0, 2}
